@@ -57,7 +57,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def forest(a: np.ndarray, b: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest of all links within `radius` between `a` and `b` (the same array: within it)."""
-    both = np.concatenate([a, b])
+    same = np.array_equal(a, b)
+    both, shift = (a, 0) if same else (np.concatenate([a, b]), len(a))
     parent = list(range(len(both)))
 
     def root(x: int) -> int:
@@ -70,11 +71,10 @@ def forest(a: np.ndarray, b: np.ndarray, radius: int) -> list[tuple[int, int]]:
     for at in range(0, len(a), 64):
         near = np.bitwise_count(a[at : at + 64, None] ^ b[None, :]) <= radius
         for i, j in zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True):
-            x, y = root(at + i), root(len(a) + j)
+            x, y = root(at + i), root(shift + j)
             if x != y:
                 parent[max(x, y)] = min(x, y)
-                if both[at + i] != b[j]:
-                    edges.append((at + i, len(a) + j))
+                edges.append((at + i, shift + j))
     return [(int(both[x]), int(both[y])) for x, y in edges]
 
 
@@ -118,7 +118,6 @@ def near_duplicates(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", te
     their fingerprint, and get the component of those they link to (null if all of it is null). Empty in, empty out.
     """
     found = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    # a text's representative: where every copy lacks an id there is none, and -1 - position can't be told apart, so null
     reps = written(found.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     edges = links(reps.select("fp"), radius, tile)
     parts = connected_components(edges)
