@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voucherlens.llm import decontam, lines, packing, quality, simhash, toxicity
+from voucherlens.llm import decontam, langid, lines, packing, quality, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, *toxicity.learn(docs, _table(spark, sf_dir, "labels")))
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.learn(docs))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), *tokenizer_files()).drop("ids")
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
     "op6_toxicity": op6_toxicity,
+    "op7_langid": op7_langid,
     "op8_packing": op8_packing,
     "op10_decontamination": op10_decontamination,
 }
