@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voucherlens.llm import chat, decontam, langid, lines, packing, pii, quality, simhash, toxicity
+from voucherlens.llm import chat, decontam, langid, lines, packing, pii, quality, simhash, suffixes, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.dedup_substrings(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 #: For trials only; a deployment passes a secret of its own.
 TRIAL_KEY = "trial key"
 
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
+    "op4_substrings": op4_substrings,
     "op5_surrogates": op5_surrogates,
     "op6_toxicity": op6_toxicity,
     "op7_langid": op7_langid,
