@@ -20,16 +20,21 @@ _SINGLE = rf"^(\d{{4}})(?:-(\d{{2}})(?:-(\d{{2}}))?|-(\d{{3}}))?{_TIME}$"
 
 def _part_span(text: Column) -> Column:
     """struct(first, last) of one ISO date (YYYY, YYYY-MM, YYYY-MM-DD, YYYY-DDD, with or without a time), or null."""
-    y, m, d, o = (F.nullif(F.regexp_extract(text, _SINGLE, i), F.lit("")) for i in (1, 2, 3, 4))
-    day = F.concat_ws("-", y, m, d).try_cast("date")
-    month = F.concat(y, F.lit("-"), m, F.lit("-01")).try_cast("date")
-    first = F.concat(y, F.lit("-01-01")).try_cast("date")
-    nth = F.date_add(first, o.cast("int") - 1)
-    nth = F.when((o.cast("int") > 0) & (F.year(nth) == y.cast("int")), nth)
-    one = F.when(d.isNotNull(), day).when(m.isNotNull(), month).when(o.isNotNull(), nth).otherwise(first)
-    last = F.when(d.isNotNull(), day).when(m.isNotNull(), F.last_day(month)).when(o.isNotNull(), nth).otherwise(F.concat(y, F.lit("-12-31")).try_cast("date"))
-    ok = text.rlike(_SINGLE) & (y != "0000") & one.isNotNull()
-    return F.when(ok, F.struct(one.alias("first"), last.alias("last")))
+
+    def span(x: Column) -> Column:
+        y, m, d, o = x["y"], x["m"], x["d"], x["o"]
+        day = F.concat_ws("-", y, m, d).try_cast("date")
+        month = F.concat(y, F.lit("-"), m, F.lit("-01")).try_cast("date")
+        year = F.concat(y, F.lit("-01-01")).try_cast("date")
+        nth = let(F.date_add(year, o.cast("int") - 1), lambda n: F.when((o.cast("int") > 0) & (F.year(n) == y.cast("int")), n))
+        first = F.when(d.isNotNull(), day).when(m.isNotNull(), month).when(o.isNotNull(), nth).otherwise(year)
+        last = F.when(d.isNotNull(), F.lit(None).cast("date")).when(m.isNotNull(), F.last_day(month)).when(o.isNull(), F.concat(y, F.lit("-12-31")).try_cast("date"))
+        both = F.struct(first.alias("first"), last.alias("last"))
+        both = let(both, lambda b: F.when(b["first"].isNotNull(), F.struct(b["first"].alias("first"), F.coalesce(b["last"], b["first"]).alias("last"))))
+        return F.when(y.isNotNull() & (y != "0000"), both)
+
+    parts = [F.nullif(F.regexp_extract(text, _SINGLE, i), F.lit("")).alias(n) for i, n in ((1, "y"), (2, "m"), (3, "d"), (4, "o"))]
+    return let(F.struct(*parts), span)
 
 
 def iso_span(c: Column) -> Column:

@@ -63,7 +63,7 @@ def field_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.field_summary(_scored(spark, sf_dir), ["eventDate", "coordinates"]).select("field", F.round("mean_accuracy", 4).alias("mean_accuracy"), "n_scored")
 
 
-@query(_SPECIMENS + _PARTS + " SELECT specimen_id, date_score, coord_score FROM res")
+@query(_SPECIMENS + _PARTS + " SELECT specimen_id, CAST(date_score AS DOUBLE) AS date_score, CAST(coord_score AS DOUBLE) AS coord_score FROM res")
 def date_and_coordinate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _scored(spark, sf_dir)
     return rows.groupBy("specimen_id").agg(F.max(F.when(F.col("field") == "eventDate", F.col("score"))).alias("date_score"), F.max(F.when(F.col("field") == "coordinates", F.col("score"))).alias("coord_score"))
@@ -256,10 +256,10 @@ def pareto_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.pareto(_rounded_summary(spark, sf_dir)).select("model", "accuracy", "cost_per_1000")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'N' THEN 0.0 ELSE round((l_quantity * 0.15 + l_partkey * 0.6) / 1e6 * CASE WHEN l_linestatus = 'F' THEN 0.5 ELSE 1.0 END, 6) END AS cost_usd FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'N' THEN 0.0 ELSE round((l_quantity * 1000 * 0.15 + l_partkey * 1000 * 0.6) / 1e6 * CASE WHEN l_linestatus = 'F' THEN 0.5 ELSE 1.0 END, 6) END AS cost_usd FROM lineitem")
 def token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices = spark.createDataFrame([("m", 0.15, 0.6)], "model string, in_per_m double, out_per_m double")
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.lit("m").alias("model"), F.col("l_quantity").alias("tokens_in"), F.col("l_partkey").alias("tokens_out"), (F.col("l_linestatus") == "F").alias("is_batch"), (F.col("l_returnflag") == "N").alias("is_local"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.lit("m").alias("model"), (F.col("l_quantity") * 1000).alias("tokens_in"), (F.col("l_partkey") * 1000).alias("tokens_out"), (F.col("l_linestatus") == "F").alias("is_batch"), (F.col("l_returnflag") == "N").alias("is_local"))
     return rollup.cost(rows, prices).select("l_orderkey", "l_linenumber", "l_partkey", "cost_usd")
 
 
@@ -320,8 +320,8 @@ def page_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.length("html").cast("long").alias("n_chars"), F.length(F.regexp_replace("html", r"\s+", "")).cast("long").alias("n_dense"))
 
 
-@query("SELECT c_custkey, round(least(2 * 6371.0 * atan2(sqrt(a), sqrt(greatest(0, 1 - a))), 1e9), 2) AS km FROM (SELECT c_custkey, pow(sin(radians(c_custkey % 90) / 2), 2) + cos(radians(c_custkey % 90)) * pow(sin(radians(c_custkey % 180) / 2), 2) AS a FROM customer)")
+@query("SELECT c_custkey, round(2 * 6371.0 * atan2(sqrt(a), sqrt(greatest(0, 1 - a))), 3) AS km FROM (SELECT c_custkey, pow(sin(radians(c_custkey % 90) / 2), 2) + cos(radians(c_custkey % 90)) * pow(sin(radians(c_custkey % 180) / 2), 2) AS a FROM customer)")
 def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     zero = F.lit(0.0)
-    return c.select("c_custkey", F.round(geo.haversine_km(zero, zero, (F.col("c_custkey") % 90).cast("double"), (F.col("c_custkey") % 180).cast("double")), 2).alias("km"))
+    return c.select("c_custkey", geo.haversine_km(zero, zero, (F.col("c_custkey") % 90).cast("double"), (F.col("c_custkey") % 180).cast("double")).alias("km"))
