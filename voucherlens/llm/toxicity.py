@@ -152,7 +152,7 @@ def lexicon(marked: DataFrame, most: int = 5000, least_docs: int = 3) -> list[st
     own = marked.groupBy(F.xxhash64("text").alias("h")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text"))
     found = own.select("toxic", F.explode(_parts(F.col("text"))).alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("n"))
     found = found.where((F.col("a") >= least_docs) & ((F.col("a") + 0.5) / (F.col("n") + 1) >= 0.8))
-    rows = found.orderBy(F.desc("a"), F.desc(F.length("term")), "term").limit(4 * most).collect()  # bounded by the parameter
+    rows = found.orderBy(F.desc("a"), F.desc(F.length(F.regexp_replace("term", r"\*", ""))), F.desc("term")).limit(4 * most).collect()  # bounded by the parameter
     whole, out = {}, []
     for r in rows:
         word = r.term.rstrip("*")
