@@ -12,12 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voucherlens.llm.common import column_name
+from voucherlens.llm.common import column_name, written
 
 
 def _chunks(spread: int):
     """array<struct<s, e, g>>: the multi-line chunks of the line hashes h, as first and last line and hash."""
-    inner = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: (i == F.size("h") - 1) | (F.pmod(F.xxhash64(F.get("h", i - 1), F.get("h", i)), F.lit(spread)) == 0))
+    inner = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: (i == F.size("h") - 1) | ((i > 0) & (F.pmod(F.xxhash64(F.get("h", i - 1), F.get("h", i)), F.lit(spread)) == 0)))
     pairs = lambda ends: F.transform(ends, lambda e, i: F.struct(F.coalesce(F.get(ends, i - 1) + 1, F.lit(0)).alias("s"), e.alias("e")))
     return inner, pairs
 
@@ -31,6 +31,7 @@ def repeated_chunks(docs: DataFrame, spread: int = 3, min_chars: int = 20) -> Da
     long = lambda c: (c["e"] > c["s"]) & (F.aggregate(F.slice("n", c["s"] + 1, c["e"] - c["s"] + 1), F.lit(0), lambda a, x: a + x) >= min_chars)
     cut = cut.select("k", F.explode(F.transform(F.filter("c", long), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), F.xxhash64(F.slice("h", c["s"] + 1, c["e"] - c["s"] + 1)).alias("g")))).alias("c")).select("k", "c.*")
     first = cut.groupBy("g").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("k", "s")).alias("first")).where("many > 1")
+    first = written(first, "repeated")  # so that both sides of the join below are shuffled for it, and a hot chunk can be split
     need = cut.join(first, "g").select("k", F.struct("s", "e", "g", (F.struct("k", "s") == F.col("first")).alias("first")).alias("c"))
     need = need.groupBy("k").agg(F.collect_set("c").alias("cs"))
     seen = docs.join(need, "k").select("k", F.split("text", "\n").alias("lines"), F.explode("cs").alias("c"))
