@@ -34,7 +34,7 @@ _FAMILY = {
 
 _TITLE = "|".join(_FEMALE + _MALE + _EITHER)
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": r"(?<![\d\-])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){2}[ \-]\d{1,7})(?![\d\-])",
@@ -43,8 +43,9 @@ PATTERNS = {
     "secret": r"(?<![A-Za-z0-9])(?=[0-9a-f]{0,127}\d)(?=[0-9a-f]{0,127}[a-f])[0-9a-f]{16,128}(?![A-Za-z0-9])",
     "person": rf"(?<![\p{{L}}])(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'’\-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'’\-]{{1,40}}){{0,2}}",
 }
-_ANY = "|".join(PATTERNS.values())
-_HINT = rf"[@\d]|(?:{_TITLE})\.? \p{{Lu}}"
+# What every pattern needs is looked at first: a likely first character, and none but digits go on right after a letter.
+_ANY = r"(?=[A-Za-z0-9._%+(\-гГ])(?:(?<![A-Za-z])|(?=\d))(?:" + "|".join(PATTERNS.values()) + ")"
+_HINT = rf"[@\d]|(?=[A-ZгГ])(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}"
 
 
 def entities(text: Column) -> Column:
@@ -150,7 +151,8 @@ def surrogate(e: Column, k: Column, canon: Column, key: str, attempt: Column) ->
 
 def attempts(docs: DataFrame, key: str, text_col: str = "text", max_rounds: int = 20) -> DataFrame:
     """(kind, canon, attempt) of the distinct entities that can't have their first surrogate: a written table, mostly empty."""
-    e = docs.select(F.explode(entities(F.col(text_col))).alias("e")).select("e", kind(F.col("e")).alias("kind")).withColumn("canon", canonical(F.col("e"), F.col("kind")))
+    # explode_outer: the filter Spark infers for explode would look for the entities again
+    e = docs.select(F.explode_outer(entities(F.col(text_col))).alias("e")).where("e is not null").select("e", kind(F.col("e")).alias("kind")).withColumn("canon", canonical(F.col("e"), F.col("kind")))
     own = written(e.groupBy("kind", "canon").agg(F.min("e").alias("e")), "entities").withColumn("attempt", F.lit(0))
     for _ in range(max_rounds):
         new = own.withColumn("new", canonical(surrogate(F.col("e"), F.col("kind"), F.col("canon"), key, F.col("attempt")), F.col("kind")))
