@@ -10,6 +10,8 @@ with a re-attempted entity meet a table of such entities.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,6 +81,11 @@ def _name(e: Column) -> Column:
     return F.regexp_replace(e, r"^\p{L}+\.? ", "")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value worked out once: named twice as a plain column, it would stand twice in the plan."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def _draw(seed: Column, i: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(seed, i), F.lit(n)).cast("int")
 
@@ -112,7 +119,9 @@ def _new_name(name: Column, gender: Column, key: str, attempt: Column) -> Column
     tokens = F.split(name, " ")
 
     def token(t: Column, i: Column) -> Column:
-        seed = F.sha2(F.concat(F.lit(key), F.lit("|name|"), attempt.cast("string"), F.lit("|"), t), 256)
+        return _let(F.sha2(F.concat(F.lit(key), F.lit("|name|"), attempt.cast("string"), F.lit("|"), t), 256), lambda seed: drawn(t, i, seed))
+
+    def drawn(t: Column, i: Column, seed: Column) -> Column:
         given = family = None
         for script in ("cyrillic", "latin"):
             lists = F.when(gender == "female", F.array(*map(F.lit, _GIVEN["female", script]))).when(gender == "male", F.array(*map(F.lit, _GIVEN["male", script]))).otherwise(F.array(*map(F.lit, _GIVEN["either", script])))
@@ -130,21 +139,29 @@ def surrogate(e: Column, k: Column, canon: Column, key: str, attempt: Column) ->
     """The surrogate of entity `e`, of kind `k` and canonical form `canon`, in e's own format."""
     seed = F.sha2(F.concat(F.lit(key), F.lit("|"), k, F.lit("|"), attempt.cast("string"), F.lit("|"), canon), 256)
     digits = F.regexp_replace(e, r"\D", "")
-    drawn = F.array_join(F.transform(F.split(digits, ""), lambda _, i: F.when(i == 0, _pick(seed, i, "23456789")).otherwise(_pick(seed, i, "0123456789"))), "")
+    drawn = lambda v: F.array_join(F.transform(F.split(v["digits"], ""), lambda _, i: F.when(i == 0, _pick(v["seed"], i, "23456789")).otherwise(_pick(v["seed"], i, "0123456789"))), "")
+    known = F.struct(seed.alias("seed"), digits.alias("digits"))
+    return _let(known, lambda v: _let(drawn(v), lambda new: _of_kind(e, k, key, attempt, v["seed"], v["digits"], new)))
+
+
+def _of_kind(e: Column, k: Column, key: str, attempt: Column, seed: Column, digits: Column, drawn: Column) -> Column:
+    """The surrogate by kind; `digits` are e's own, `drawn` as many new ones."""
     host = F.substring_index(F.lower(e), "@", -1)
     host_seed = F.sha2(F.concat(F.lit(key), F.lit("|host|"), attempt.cast("string"), F.lit("|"), host), 256)
     last = F.substring_index(e, ".", -1)
     named = F.substring_index(e, "@", -1)
-    email = F.concat(_mapped(F.substring_index(e, "@", 1), seed), F.lit("@"), _mapped(F.substring(named, F.lit(1), F.length(named) - F.length(last)), host_seed), last)
+    hosted = _let(host_seed, lambda s: _mapped(F.substring(named, F.lit(1), F.length(named) - F.length(last)), s))
+    email = F.concat(_mapped(F.substring_index(e, "@", 1), seed), F.lit("@"), hosted, last)
     ip = F.concat(F.lit("10."), F.concat_ws(".", *[_draw(seed, F.lit(i), 256).cast("string") for i in range(3)]))
     payload = F.concat(F.substring(digits, 1, 1), F.substring(drawn, F.lit(2), F.length(digits) - 2))
+    card = _let(payload, lambda x: _filled(e, F.concat(x, _luhn(x))))
     country = F.regexp_extract(e, r"^(\+\d{1,3})(?=\D)", 1)
-    phone = F.concat(country, _filled(F.substring(e, F.length(country) + 1, F.length(e)), drawn))
+    phone = _let(country, lambda x: F.concat(x, _filled(F.substring(e, F.length(x) + 1, F.length(e)), drawn)))
     iban = F.concat(F.substring(e, 1, 2), _mapped(F.substring(e, F.lit(3), F.length(e)), seed))
     person = F.concat(F.regexp_extract(e, r"^(\p{L}+\.? )", 1), _new_name(_name(e), _gender(e), key, attempt))
     return (
         F.when(k == "email", email).when(k == "ip", ip).when(k == "ssn", _filled(e, F.concat(F.lit("9"), F.substring(drawn, F.lit(2), F.length(digits)))))
-        .when(k == "card", _filled(e, F.concat(payload, _luhn(payload)))).when(k == "secret", _mapped(e, seed, "abcdef")).when(k == "iban", iban)
+        .when(k == "card", card).when(k == "secret", _mapped(e, seed, "abcdef")).when(k == "iban", iban)
         .when(k == "person", person).otherwise(phone)
     )
 
@@ -183,7 +200,7 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
         e = e.join(again, ["kind", "canon"]).groupBy(row_key).agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias(tries))
         rows = rows.join(e, row_key, "left")
         attempt = lambda k, c: F.coalesce(F.try_element_at(F.col(tries), F.concat_ws("|", k, c)), F.lit(0))
-    one = lambda x: surrogate(x, kind(x), canonical(x, kind(x)), key, attempt(kind(x), canonical(x, kind(x))))
+    one = lambda x: _let(kind(x), lambda k: _let(canonical(x, k), lambda c: surrogate(x, k, c, key, attempt(k, c))))
     gaps = F.split(F.col(text_col), _ANY)
     text = F.when(F.size(found) > 0, F.array_join(F.zip_with(gaps, F.transform(found, lambda x: one(x)), lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")).otherwise(F.col(text_col))
     out = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
