@@ -78,6 +78,37 @@ def test_simhash_empty_and_filter(spark):
     assert sorted((r.doc_id is None, r.doc_id) for r in kept) == [(False, 2), (False, 9), (True, None)] and kept[0].asDict().keys() == {"doc_id", "text", "lang", "k", "fp", "w"}
 
 
+def test_near_copies_against_brute_force(spark):
+    r = random.Random(11)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    rows = []
+    for _ in range(60):
+        base = [r.choice(vocab) for _ in range(r.choice([6, 9, 30, 120, 400]))]
+        for k in range(5):
+            ws = list(base)
+            for _ in range(len(ws) * k // 120 if k else 0):
+                ws[r.randrange(len(ws))] = r.choice(vocab)
+            rows.append((len(rows) * 7 % 1000, " ".join(ws[: len(ws) - r.randint(0, 1)]), "x", "k", 1, "w"))
+    shingles = {d: frozenset(tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))) for d, t, *_ in rows}
+    parent, pairs = {d: d for d in shingles}, 0
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in shingles:
+        for b in shingles:
+            if a < b and len(shingles[a] & shingles[b]) * 5 >= 4 * len(shingles[a] | shingles[b]):
+                pairs += shingles[a] != shingles[b]
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    kept = simhash.one_of_each(spark.createDataFrame(rows, DOCS)).collect()
+    assert pairs > 50 and {k.doc_id for k in kept} == {d for d in shingles if root(d) == d} and len(kept) < len({*shingles.values()})
+    got = simhash.near_copies(spark.createDataFrame(rows, DOCS), tile=32).collect()
+    assert {k.doc_id: k.component_id for k in got} == {d: root(d) for d in shingles}
+
+
 def test_packing_round_trip(spark):
     path, ranks, pattern = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     rows = [(i, t, "x", "k", 1, "w") for i, t in enumerate([*texts(40), "a<|endoftext|>b", "日本語   テ\u0085ス", "x" * 9000, " leading", "it's 12"])]
