@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without multi-line chunks that occur before; n_chars follows the text."""
-    out = lines.dedup_lines(docs)
+    """Every document, without runs of lines that occur before; n_chars follows the text."""
+    out = lines.dedup_runs(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
 
 

@@ -102,6 +102,28 @@ def brute_lines(docs, spread, min_chars):
     return out
 
 
+def test_repeated_runs_are_removed_whole(spark):
+    r = random.Random(4)
+    line = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(6))
+    runs = {n: [line() for _ in range(n)] for n in range(2, 11)}
+    rows, want = [], {}
+    for n, run in runs.items():
+        for copy in range(3):
+            before, after = [line() for _ in range(3)], [line() for _ in range(3)]
+            rows.append((len(rows), "\n".join(before + run + after), "x", "k", "s"))
+            want[rows[-1][0]] = "\n".join(before + (run if copy == 0 else []) + after)
+    long = " ".join(line() for _ in range(8))
+    for copy in range(2):
+        rows.append((len(rows), f"{line()}\n{long}\n{line()}", "x", "k", "s"))
+        want[rows[-1][0]] = rows[-1][1] if copy == 0 else rows[-1][1].replace(long + "\n", "")
+    rows += [(900, None, "x", "k", "s"), (901, "", "x", "k", "s"), (902, "one line", "x", "k", "s"), (903, "one line", "x", "k", "s")]
+    want |= {900: None, 901: "", 902: "one line", 903: "one line"}
+    df = spark.createDataFrame(rows, DOCS)
+    assert {x.doc_id: x.text for x in lines.dedup_runs(df).collect()} == want
+    assert lines.dedup_runs(df.union(df)).count() == 2 * len(rows)
+    assert {x.doc_id: x.text for x in lines.dedup_lines(df).collect()} != want
+
+
 def test_lines_against_brute_force(spark):
     r = random.Random(6)
     pool = ["".join(r.choice("abc é") for _ in range(r.randint(0, 20))) for _ in range(60)]

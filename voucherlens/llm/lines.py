@@ -5,6 +5,10 @@ Method: every line is hashed; a rolling hash over the last two line hashes ends
 meet by their hash as thin rows; those found again are compared byte by byte with the first occurrence, and all but the
 first (by doc_id, then place) are removed. Counts are partial aggregates and joins are plain equi-joins that adaptive
 execution may split, so a passage found in a third of the rows makes no hot task.
+
+A chunk only meets its like where both boundaries lie within the shared passage. `repeated_runs` leaves none out: all windows
+of two lines, and single lines of `long_chars` or more, meet by the hashes of their lines; those found again are removed but
+for the first, where they add up to a run of enough text. The first occurrence of a line always stays.
 """
 
 from __future__ import annotations
@@ -41,15 +45,64 @@ def repeated_chunks(docs: DataFrame, spread: int = 3, min_chars: int = 20) -> Da
     return again.groupBy("k").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
+def repeated_runs(docs: DataFrame, min_chars: int = 20, long_chars: int = 200) -> DataFrame:
+    """(k, spans) of `docs` (k, text): (s, e) line spans to remove, apart from each other, their lines compared byte by byte.
+
+    A run counts with two lines that aren't blank and `min_chars` characters, or with a line of `long_chars`.
+    """
+    cut = docs.select("k", F.split("text", "\n").alias("lines"))
+    cut = cut.select("k", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"), F.transform("lines", lambda x: F.length(F.trim(x))).alias("n"))
+    window = lambda i, j: F.struct(i.alias("s"), j.alias("e"), F.get("h", i).alias("g"), F.get("h", j).alias("g2"))
+    each = F.sequence(F.lit(0), F.size("h") - 1)
+    two = F.transform(F.filter(each, lambda i: i < F.size("h") - 1), lambda i: window(i, i + 1))
+    one = F.transform(F.filter(each, lambda i: F.get("n", i) >= long_chars), lambda i: window(i, i))
+    cut = cut.select("k", F.explode(F.concat(two, one)).alias("c")).select("k", "c.*", (F.col("c.e") > F.col("c.s")).alias("wide"))
+    meet = ["g", "g2", "wide"]
+    first = cut.groupBy(*meet).agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("k", "s")).alias("first")).where("many > 1").drop("many")
+    first = written(first, "repeated")  # so that both sides of the join below are shuffled for it, and a hot window can be split
+    again = cut.join(first, meet).groupBy("k").agg(F.collect_list(F.struct("s", "e", (F.struct("k", "s") == F.col("first")).alias("first"))).alias("cs"))
+    seen = written(docs.join(again, "k").select("k", "cs", _lines_of("cs").alias("ls")), "windows")
+    # a hash that stands for two texts removes nothing
+    texts = seen.select(F.explode("ls").alias("l")).select(F.xxhash64("l.line").alias("g"), "l.line")
+    bad = texts.groupBy("g").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").agg(F.collect_set("g").alias("bad"))
+    seen = seen.crossJoin(F.broadcast(bad))
+    fine = lambda i: F.exists("ls", lambda x: (x["i"] == i) & ~F.array_contains("bad", F.xxhash64(x["line"])))
+    gone = F.filter("cs", lambda c: ~c["first"] & ((F.size("bad") == 0) | (fine(c["s"]) & fine(c["e"]))))
+    runs = F.aggregate(
+        F.array_sort(F.transform(gone, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e")))), F.expr("cast(array() as array<struct<s: int, e: int>>)"),
+        lambda a, c: F.when((F.size(a) > 0) & (c["s"] <= F.element_at(a, -1)["e"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["s"].alias("s"), F.greatest(F.element_at(a, -1)["e"], c["e"]).alias("e"))))).otherwise(F.concat(a, F.array(c))),
+    )
+    sizes = lambda r: F.filter(F.transform(F.filter("ls", lambda x: (x["i"] >= r["s"]) & (x["i"] <= r["e"])), lambda x: F.length(F.trim(x["line"]))), lambda n: n > 0)
+    enough = lambda n: ((F.size(n) > 1) & (F.aggregate(n, F.lit(0), lambda a, x: a + x) >= min_chars)) | F.exists(n, lambda x: x >= long_chars)
+    return seen.select("k", "ls", runs.alias("runs")).select("k", F.filter("runs", lambda r: enough(sizes(r))).alias("spans")).where("size(spans) > 0").groupBy("k").agg(F.first("spans").alias("spans"))
+
+
+def _lines_of(windows: str):
+    """array<struct<i, line>>: the lines of `text` within the windows, once each."""
+    at = F.array_sort(F.array_distinct(F.flatten(F.transform(windows, lambda c: F.array(c["s"], c["e"])))))
+    lines = F.split("text", "\n")
+    return F.transform(at, lambda i: F.struct(i.alias("i"), F.get(lines, i).alias("line")))
+
+
 def dedup_lines(docs: DataFrame, spread: int = 3, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
     """`docs` with repeated chunks cut from the text; all rows stay, columns as they were (`counts` adds n_lines, n_removed_lines).
 
     A chunk's first occurrence stays. Rows that share doc_id and text count as one document; a null doc_id is an id like
     any other (the first). Null texts stay null and empty ones empty; a text all of whose lines go becomes empty.
     """
+    return _without(docs, lambda keyed: repeated_chunks(keyed, spread, min_chars), id_col, text_col, counts)
+
+
+def dedup_runs(docs: DataFrame, min_chars: int = 20, long_chars: int = 200, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
+    """`docs` with every repeated run of lines cut from the text but for its first occurrence; rows and columns as in dedup_lines."""
+    return _without(docs, lambda keyed: repeated_runs(keyed, min_chars, long_chars), id_col, text_col, counts)
+
+
+def _without(docs: DataFrame, find, id_col: str, text_col: str, counts: bool) -> DataFrame:
+    """`docs` without the spans that `find` gives for (k, text)."""
     key, spans = column_name(docs, "line_key"), column_name(docs, "line_spans")
     keyed = docs.withColumn(key, F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h")))
-    cut = repeated_chunks(keyed.where(F.col(text_col).isNotNull()).select(F.col(key).alias("k"), F.col(text_col).alias("text")), spread, min_chars)
+    cut = find(keyed.where(F.col(text_col).isNotNull()).select(F.col(key).alias("k"), F.col(text_col).alias("text")))
     out = keyed.join(cut.select(F.col("k").alias(key), F.col("spans").alias(spans)), key, "left")
     lines = F.split(F.col(text_col), "\n")
     left = F.filter(lines, lambda _, i: ~F.exists(F.col(spans), lambda s: (s["s"] <= i) & (i <= s["e"])))

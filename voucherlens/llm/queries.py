@@ -31,7 +31,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return lines.dedup_runs(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
