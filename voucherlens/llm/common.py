@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,25 +11,52 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of this process where it is unset (local runs)."""
+    """The folder all executors share: spark.checkpoint.dir, or one of this process where it is unset and Spark runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         made = spark.sparkContext.getCheckpointDir()
         if not made:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="voucherlens-"))
             made = spark.sparkContext.getCheckpointDir()
         found = made
     return found.rstrip("/")
 
 
+#: Lets Spark delete a query's shuffle files as soon as the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: cuts the lineage, survives lost executors, deleted when the session ends."""
+    """`df` as a Parquet table in the shared folder: cuts the lineage, survives lost executors, deleted by `discard` or when the session ends.
+
+    Its rows are safe once written, so the shuffle files of the query that made them go at once.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/voucherlens/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    _file_system(spark, path)[0].deleteOnExit(_file_system(spark, path)[1])
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by `written` that nothing will read again."""
+    for table in tables:
+        fs, path = _file_system(table.sparkSession, table._written_path)
+        fs.delete(path, True)
+
+
+def _file_system(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
 def column_name(df: DataFrame, wanted: str) -> str:
@@ -68,7 +96,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = written(small, "edges")
+        now, old = written(small, "edges"), now
+        discard(old)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionAll(
