@@ -230,12 +230,48 @@ def test_surrogates(spark):
     assert cards[0].replace(" ", "") == cards[1] and cards[1][0] == "4"
     digits = [int(c) for c in cards[1]][::-1]
     assert sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
-    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", one) and "555-2164" not in one and "10." in one and "42.144.35.254" not in one
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", one) and "555-2164" not in one and re.search(r"(\d{1,3}\.){3}\d{1,3}", one) and "42.144.35.254" not in one
     assert re.search(r"password=[0-9a-f]{18} IBAN DE\d{2} (\d{4} ){4}\d{2}\. Mrs \w+ (\w+) met Dr\. \2; госпожа [А-Яа-я]+$", got[1])
     assert "Smith" not in got[1] and "Иванова" not in got[1] and pii.pseudonymise(df.limit(0), "key").collect() == []
     assert [x.text for x in pii.pseudonymise(df, "other").collect()] != got
 
 
+def test_surrogates_are_a_permutation_in_brute_force(spark):
+    """All strings of a small format: each has its own surrogate, none keeps its own, formats and check digits hold."""
+    key, r = "key", random.Random(7)
+    names = sorted({r.choice("BCDF") + "".join(r.choice("aeiou") + r.choice("bcdfglmnprst") for _ in range(3)) for _ in range(13_000)})[:12_000]
+    ips = [f"1.2.{a}.{b}" for a in range(0, 256, 16) for b in range(256)]
+    phones = [f"+49 {a:03d} {b:03d}" for a in range(100, 110) for b in range(0, 1000, 10)]
+    keys = ["AKIA" + "".join(r.choice("ABCDEFGH0123") for _ in range(16)) for _ in range(500)]
+    ibans = ["DE89 3704 0044 0532 0130 00", "DE88 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"]
+    rows = [(i, x) for i, x in enumerate([f"Mr {n}" for n in names] + ips + phones + keys + ibans)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert pii.collisions(df, key).collect() == []
+    got = {x.doc_id: x.text for x in pii.pseudonymise(df, key).collect()}
+    new = [got[i] for i in range(len(rows))]
+    assert len(set(new)) == len(rows) and not any(a == b for (_, a), b in zip(rows, new, strict=True))
+    shape = lambda x: re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "0", x)))
+    assert all(shape(a) == shape(b) for (_, a), b in zip(rows, new, strict=True) if "." not in a)
+    assert all(max(map(int, x.split("."))) < 256 for x in new if x.count(".") == 3)
+    rest = lambda x: int("".join(str(int(c, 36)) for c in (x.replace(" ", "")[4:] + x.replace(" ", "")[:4]))) % 97
+    assert rest(new[-3]) == 1 and rest(new[-2]) == 0 and rest(new[-1]) == 1 and new[-1][:2] == "GB"
+
+
+def test_names_corefer_and_look_alikes_stay(spark):
+    texts = [
+        "Mrs Jane Smith came. Jane Smith left; Jane Smithson stayed, Dr Smith's too. Dr. Jane Smith spoke.",
+        "number 2531585014589253 is no card, 300.1.2.3 no address, nor is 1.2.3.4.5", "call +1 (377) 555-0271 or +13775550271",
+    ]
+    df = spark.createDataFrame([(i, t, i, "x") for i, t in enumerate(texts)], "doc_id long, text string, pii_found int, kind string")
+    out = pii.pseudonymise(df, "key", counts=True)
+    a, b, c = (x.text for x in out.orderBy("doc_id").collect())
+    m = re.fullmatch(r"Mrs (\w+) (\w+) came\. \1 \2 left; Jane Smithson stayed, Dr \2's too\. Dr\. \1 \2 spoke\.", a)
+    assert m and m[1] != "Jane" and m[1].endswith("e") and m[2] != "Smith"
+    assert b == texts[1]
+    x, y = re.findall(r"\+[\d ()-]+\d", c)
+    assert re.sub(r"\D", "", x) == re.sub(r"\D", "", y) and x.startswith("+1 (") and x != "+1 (377) 555-0271"
+
+
 def test_surrogates_stay_distinct(spark):
     """Few enough address surrogates that some collide at first, and the repair must keep all apart."""
     rows = [(i, f"host 192.{i // 250}.{i % 250}.1 and 10.{i % 7}.{i % 200}.{i % 250}", "x", "k", "s") for i in range(9000)]

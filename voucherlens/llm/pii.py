@@ -1,11 +1,14 @@
 """Surrogates for personal data, in DataFrame functions only.
 
 Method: entities are detected by one pattern; each is replaced by a keyed surrogate of its own type and format (letter
-case, digit groups, punctuation, check digits, country and top-level parts, and for names gender and script). The
-surrogate depends on the key, the type and the entity's canonical form alone, so one entity has one surrogate in the
-whole corpus, however it is written. All distinct entities are checked: where two share a surrogate, or a surrogate is
-another real entity, the later ones get the next attempt until none does. Texts are rewritten where they lie; only those
-with a re-attempted entity meet a table of such entities.
+case, digit groups, punctuation, check digits, country and top-level parts, and for names script, syllable pattern and the
+ending that tells the gender). The surrogate depends on the key and the entity's canonical form alone, so one entity has
+one surrogate in the whole corpus, however it is written, and a family name alone has that of the full name.
+
+Within a type and format, surrogates are a keyed permutation without fixed points of all strings of that format: a Feistel
+network over the characters, each within its own alphabet. So two entities never share a surrogate, none keeps its own, and
+no supply of surrogates can run out. `collisions` checks this on all distinct entities of a corpus. Texts are rewritten
+where they lie: no row meets another.
 """
 
 from __future__ import annotations
@@ -15,50 +18,43 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voucherlens.llm.common import column_name, written
-
-# Titles by gender, given names by gender and script, syllables of family names by script.
-_FEMALE = ["Mrs", "Ms", "Miss", "Madame", "Mme", "Frau", "Señora", "Sra", "Doña", "госпожа", "Госпожа"]
-_MALE = ["Mr", "Mister", "Monsieur", "Herr", "Señor", "Sr", "Don", "господин", "Господин"]
-_EITHER = ["Dr", "Prof"]
-_GIVEN = {
-    ("female", "latin"): ["Alma", "Berta", "Clara", "Dora", "Edith", "Flora", "Greta", "Hilda", "Irma", "Jana", "Karla", "Lena"],
-    ("male", "latin"): ["Albin", "Bruno", "Curt", "Dirk", "Emil", "Felix", "Georg", "Hugo", "Ivo", "Jonas", "Karl", "Leo"],
-    ("either", "latin"): ["Alexis", "Camille", "Dana", "Eike", "Jody", "Kim", "Luca", "Noor", "Robin", "Sascha", "Toni", "Yael"],
-    ("female", "cyrillic"): ["Алла", "Вера", "Дарья", "Зоя", "Инна", "Кира", "Лидия", "Майя", "Нина", "Ольга", "Рита", "Юлия"],
-    ("male", "cyrillic"): ["Антон", "Борис", "Вадим", "Глеб", "Денис", "Егор", "Захар", "Игорь", "Кирилл", "Лев", "Марк", "Юрий"],
-    ("either", "cyrillic"): ["Валя", "Женя", "Миша", "Паша", "Саша", "Слава", "Шура", "Вика", "Ника", "Тоша", "Лёша", "Мика"],
-}
-_FAMILY = {
-    "latin": ["ber", "cor", "dal", "fen", "gar", "hol", "jas", "kel", "lin", "mar", "nor", "pel", "quin", "ros", "sal", "tor", "ulm", "ven", "wes", "zel"],
-    "cyrillic": ["бел", "вор", "гор", "дол", "жар", "зим", "кал", "лес", "мор", "нов", "пол", "рад", "сок", "тар", "ул", "фед", "хол", "чер", "шар", "яр"],
-}
+from voucherlens.llm.common import column_name
 
-_TITLE = "|".join(_FEMALE + _MALE + _EITHER)
+# Titles, alphabets of a format (a character stays within its own), country calling codes of one or two digits.
+_TITLES = "Mrs Ms Miss Madame Mme Frau Señora Sra Doña госпожа Госпожа Mr Mister Monsieur Herr Señor Sr Don господин Господин Dr Prof".split()
+_DIGITS, _LETTERS, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "abcdef"
+_VOWELS, _CONSONANTS = ["aeiouy", "àáâäãåèéêëìíîïòóôöõùúûü", "аеёиоуыэюя"], ["bcdfghjklmnpqrstvwxz", "çñßšžčć", "бвгджзйклмнпрстфхцчшщ"]
+_CALLING = r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+
+_TITLE = "|".join(_TITLES)
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}",
-    "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
+    "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": r"(?<![\d\-])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){2}[ \-]\d{1,7})(?![\d\-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{3}[.\-])\d{3}[ .\-]?\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,4}(?!\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?=[0-9a-f]{0,127}\d)(?=[0-9a-f]{0,127}[a-f])[0-9a-f]{16,128}(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:(?=[0-9a-f]{0,127}\d)(?=[0-9a-f]{0,127}[a-f])[0-9a-f]{16,128}|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xoxb|xoxp)[_\-][A-Za-z0-9_\-]{16,128})(?![A-Za-z0-9])",
     "person": rf"(?<![\p{{L}}])(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'’\-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'’\-]{{1,40}}){{0,2}}",
 }
 # What every pattern needs is looked at first: a likely first character, and none but digits go on right after a letter.
 _ANY = r"(?=[A-Za-z0-9._%+(\-гГ])(?:(?<![A-Za-z])|(?=\d))(?:" + "|".join(PATTERNS.values()) + ")"
-_HINT = rf"[@\d]|(?=[A-ZгГ])(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}"
+_HINT = rf"[@\d]|(?=[ASsPpGgXx])(?:AKIA|sk[_\-]|pk[_\-]|gh[po][_\-]|xox[bp][_\-])|(?=[ADFHMPSгГ])(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}"
 
 
 def entities(text: Column) -> Column:
-    """All entities of a text in order; an empty array if it is null or has none."""
+    """All candidates of a text in order; an empty array if it is null or has none. Those of a null kind are none after all."""
     return F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(f"({_ANY})"), 1)).otherwise(F.array().cast("array<string>"))
 
 
 def kind(e: Column) -> Column:
+    """The kind of a candidate; null for a number as long as a card's whose check digit is wrong."""
+    digits = F.regexp_replace(e, r"\D", "")
     return (
         F.when(e.contains("@"), "email").when(e.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip").when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-        .when(e.rlike(r"^(\d{13,19}|\d{4}([ \-]\d{4}){2}[ \-]\d{1,7})$"), "card").when(e.rlike(r"^[0-9a-f]{16,128}$"), "secret")
+        .when(e.rlike(r"^(\d{13,19}|\d{4}([ \-]\d{4}){2}[ \-]\d{1,7})$"), F.when(F.substring(digits, -1, 1) == _luhn(_but_last(digits)), "card"))
+        .when(e.rlike(r"^([0-9a-f]{16,128}|AKIA[0-9A-Z]{16}|(sk|pk|ghp|gho|xoxb|xoxp)[_\-].*)$"), "secret")
         .when(e.rlike(r"^[A-Z]{2}\d{2}"), "iban").when(e.rlike(r"^\p{L}"), "person").otherwise("phone")
     )
 
@@ -68,15 +64,10 @@ def canonical(e: Column, k: Column) -> Column:
     digits = F.regexp_replace(e, r"\D", "")
     return (
         F.when(k == "email", F.lower(e)).when(k.isin("ssn", "card"), digits).when(k == "phone", F.concat(F.when(e.startswith("+"), "+").otherwise(""), digits))
-        .when(k == "iban", F.regexp_replace(e, " ", "")).when(k == "person", F.concat_ws("|", _gender(e), _name(e))).otherwise(e)
+        .when(k == "iban", F.regexp_replace(e, " ", "")).when(k == "person", F.regexp_replace(_name(e), r"['’]s$", "")).otherwise(e)
     )
 
 
-def _gender(e: Column) -> Column:
-    title = F.regexp_extract(e, r"^(\p{L}+)", 1)
-    return F.when(title.isin(_FEMALE), "female").when(title.isin(_MALE), "male").otherwise("either")
-
-
 def _name(e: Column) -> Column:
     return F.regexp_replace(e, r"^\p{L}+\.? ", "")
 
@@ -86,18 +77,55 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
 
 
-def _draw(seed: Column, i: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(seed, i), F.lit(n)).cast("int")
+def _but_last(text: Column) -> Column:
+    return F.substring(text, F.lit(1), F.length(text) - 1)
+
+
+def _styles(style: Column) -> Column:
+    """The alphabets of a style: a character stays within its own."""
+    lists = {"name": _VOWELS + _CONSONANTS, "secret": [_DIGITS, _HEX, _LETTERS[6:]], "ip": [_DIGITS + _HEX], "plain": [_DIGITS, _LETTERS]}
+    out = F.array(*map(F.lit, lists.pop("plain")))
+    for name, alphabets in lists.items():
+        out = F.when(style == name, F.array(*map(F.lit, alphabets))).otherwise(out)
+    return out
+
+
+def permuted(text: Column, key: str, tweak: Column, style: Column) -> Column:
+    """`text` under a keyed permutation of the strings of its format, none of which stays as it is.
+
+    A character of the style's alphabets goes to one of its own alphabet and letter case; others stay. Four Feistel rounds,
+    the first letter moved on by one, and the rounds undone: a permutation like the move, so without a fixed point.
+    """
+    of = lambda c, lists: F.get(F.filter(lists, lambda a: (c != "") & (F.instr(a, F.lower(c)) > 0)), F.lit(0))
+    chars = _let(_styles(style), lambda lists: F.transform(F.split(text, ""), lambda c: F.struct(c.alias("c"), of(c, lists).alias("of"))))
+    own = lambda all_: F.transform(F.filter(all_, lambda x: x["of"].isNotNull()), lambda x: F.struct(x["of"].alias("of"), (F.instr(x["of"], F.lower(x["c"])) - 1).alias("at"), F.length(x["of"]).alias("many")))
+    return _let(chars, lambda all_: _let(own(all_), lambda mine: F.when(F.size(mine) == 0, text).otherwise(_let(_moved(mine, key, tweak), lambda new: _spelt(all_, new)))))
+
 
+def _moved(own: Column, key: str, tweak: Column) -> Column:
+    """The places in their alphabets that the letters `own` go to: rounds of (half to turn, seed, sign); half 2 moves the first letter on."""
+    half = F.floor(F.size(own) / 2).cast("int")
+    plan = F.array(*[F.struct(F.lit(n % 2 if n >= 0 else 2).alias("half"), F.lit(f"{key}|{n}|").alias("seed"), F.lit(sign).alias("sign")) for n, sign in [(0, 1), (1, 1), (2, 1), (3, 1), (-1, 1), (3, -1), (2, -1), (1, -1), (0, -1)]])
+    shape = F.concat_ws(",", F.transform(own, lambda x: x["of"]))
 
-def _pick(seed: Column, i: Column, letters: str) -> Column:
-    return F.substring(F.lit(letters), _draw(seed, i, len(letters)) + 1, F.lit(1))
+    def turn(state: Column, r: Column) -> Column:
+        other = F.when(r["half"] == 0, F.slice(state, half + 1, F.size(state))).otherwise(F.slice(state, F.lit(1), half))
+        seed = F.sha2(F.concat(r["seed"], tweak, F.lit("|"), shape, F.lit("|"), F.concat_ws(",", F.transform(other, lambda x: x.cast("string")))), 256)
+        by = lambda s, i: F.when(r["half"] == 2, F.when(i == 0, 1).otherwise(0)).when((i < half) == (r["half"] == 0), r["sign"] * F.pmod(F.xxhash64(s, i), F.lit(1 << 31)).cast("int")).otherwise(0)
+        return _let(seed, lambda s: F.transform(state, lambda x, i: F.pmod(x + by(s, i).cast("long"), F.get(own, i)["many"].cast("long")).cast("int")))
 
+    return F.aggregate(plan, F.transform(own, lambda x: x["at"].cast("int")), turn)
 
-def _mapped(text: Column, seed: Column, letters: str = "abcdefghijklmnopqrstuvwxyz") -> Column:
-    """Every digit and ASCII letter drawn anew, case kept, all else kept."""
-    one = lambda c, i: F.when(c.rlike("[0-9]"), _pick(seed, i, "0123456789")).when(c.rlike("[a-z]"), _pick(seed, i, letters)).when(c.rlike("[A-Z]"), F.upper(_pick(seed, i, letters))).otherwise(c)
-    return F.array_join(F.transform(F.split(text, ""), one), "")
+
+def _spelt(all_: Column, new: Column) -> Column:
+    """The characters of a text, its letters at their `new` places."""
+
+    def one(x: Column, i: Column) -> Column:
+        before = F.size(F.filter(F.slice(all_, F.lit(1), i), lambda y: y["of"].isNotNull()))
+        low = F.substring(x["of"], F.get(new, before) + 1, F.lit(1))
+        return F.when(x["of"].isNull(), x["c"]).when(x["c"] != F.lower(x["c"]), F.upper(low)).otherwise(low)
+
+    return F.array_join(F.transform(all_, one), "")
 
 
 def _filled(e: Column, digits: Column) -> Column:
@@ -114,96 +142,90 @@ def _luhn(payload: Column) -> Column:
     return F.pmod(10 - F.pmod(total, F.lit(10)), F.lit(10)).cast("string")
 
 
-def _new_name(name: Column, gender: Column, key: str, attempt: Column) -> Column:
-    """Names by token, so that a family name alone matches the full name's."""
-    tokens = F.split(name, " ")
-
-    def token(t: Column, i: Column) -> Column:
-        return _let(F.sha2(F.concat(F.lit(key), F.lit("|name|"), attempt.cast("string"), F.lit("|"), t), 256), lambda seed: drawn(t, i, seed))
-
-    def drawn(t: Column, i: Column, seed: Column) -> Column:
-        given = family = None
-        for script in ("cyrillic", "latin"):
-            lists = F.when(gender == "female", F.array(*map(F.lit, _GIVEN["female", script]))).when(gender == "male", F.array(*map(F.lit, _GIVEN["male", script]))).otherwise(F.array(*map(F.lit, _GIVEN["either", script])))
-            own_given = F.get(lists, _draw(seed, F.lit(0), 12))
-            syllables = F.array(*map(F.lit, _FAMILY[script]))
-            own_family = F.initcap(F.concat(*[F.get(syllables, _draw(seed, F.lit(j), 20)) for j in (1, 2, 3)]))
-            given = own_given if given is None else F.when(t.rlike(r"\p{IsCyrillic}"), given).otherwise(own_given)
-            family = own_family if family is None else F.when(t.rlike(r"\p{IsCyrillic}"), family).otherwise(own_family)
-        return F.when(i == F.size(tokens) - 1, family).otherwise(given)
-
-    return F.array_join(F.transform(tokens, token), " ")
+def _rest97(text: Column) -> Column:
+    """`text` modulo 97, letters read as 10 to 35."""
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda a, c: F.pmod(a * F.when(value(c) > 9, 100).otherwise(10) + value(c), F.lit(97)))
+
+
+def _checked(e: Column, new: Column) -> Column:
+    """The account number `new` in e's spacing, its check digits right or as wrong as e's."""
+    plain = F.regexp_replace(e, " ", "")
+    country, check, account = F.substring(plain, 1, 2), F.substring(plain, 3, 2), F.substring(plain, F.lit(5), F.length(plain))
+    due = lambda x: F.pmod(98 - _rest97(F.concat(x, country, F.lit("00"))), F.lit(97))
+    digits = F.when(check.isin("00", "01", "99"), check).otherwise(F.lpad((2 + F.pmod(due(new) - due(account) + check.cast("int") - 2, F.lit(97))).cast("string"), 2, "0"))
+    shown = lambda x: F.array_join(F.transform(F.split(e, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substring(x, F.length(F.regexp_replace(F.substring(e, F.lit(1), i), " ", "")) + 1, F.lit(1)))), "")
+    return _let(F.concat(country, digits, new), shown)
+
+
+def _pieces(e: Column, k: Column) -> Column:
+    """What of an entity is permuted, as structs: head and tail stay, core is permuted under its tweak and style."""
+    piece = lambda head, core, tail, tweak, style="plain": F.struct(*[(x if isinstance(x, Column) else F.lit(x)).alias(n) for x, n in ((head, "head"), (core, "core"), (tail, "tail"), (tweak, "tweak"), (style, "style"))])
+    digits, plain = F.regexp_replace(e, r"\D", ""), F.regexp_replace(e, " ", "")
+    # the host is the same in all addresses, its last part stays
+    host, top = F.substring_index(e, "@", -1), F.substring_index(e, ".", -1)
+    email = F.array(piece("", F.substring_index(e, "@", 1), "@", "email"), piece("", F.substring(host, F.lit(1), F.length(host) - F.length(top)), top, "host"))
+    # numbers of 0 to 255 as pairs of sixteenths
+    wide = F.array_join(F.transform(F.split(e, r"\."), lambda x: F.lower(F.lpad(F.hex(x.cast("int")), 2, "0"))), ".")
+    issuer = F.substring(digits, 1, 1)
+    card = piece(issuer, F.substring(digits, F.lit(2), F.length(digits) - 2), "", F.concat(F.lit("card|"), issuer))
+    # the country's code, told by its digits, stays
+    code = F.when(e.startswith("+"), F.regexp_extract(digits, rf"^({_CALLING}|\d{{1,3}})", 1)).otherwise("")
+    phone = piece(code, F.substring(digits, F.length(code) + 1, F.length(digits)), "", F.concat(F.lit("phone|"), F.substring(e, 1, 1) == "+", F.lit("|"), code))
+    prefix = F.regexp_extract(e, r"^(AKIA|(?:sk|pk|ghp|gho|xoxb|xoxp)[_\-])?", 1)
+    secret = piece(prefix, F.substring(e, F.length(prefix) + 1, F.length(e)), "", F.concat(F.lit("secret|"), prefix), "secret")
+    iban = piece("", F.substring(plain, F.lit(5), F.length(plain)), "", F.concat(F.lit("iban|"), F.substring(plain, 1, 2)))
+    # word by word, so that one part alone matches the full name's; a last vowel is kept, which tells the gender
+    ending = "[" + "".join(_VOWELS) + "]"
+    tail = lambda w: F.regexp_extract(w, rf"((?:(?<=.{{2}}){ending})?(?:['’]s)?)$", 1)
+    title = F.regexp_extract(e, r"^(\p{L}+\.?) ", 1)
+    person = F.transform(F.split(_name(e), " "), lambda w, i: piece(F.when(i == 0, F.concat(title, F.lit(" "))).otherwise(" "), F.substring(w, F.lit(1), F.length(w) - F.length(tail(w))), tail(w), "name", "name"))
+    return (
+        F.when(k == "email", email).when(k == "ip", F.array(piece("", wide, "", "ip", "ip"))).when(k == "ssn", F.array(piece("", digits, "", "ssn")))
+        .when(k == "card", F.array(card)).when(k == "secret", F.array(secret)).when(k == "iban", F.array(iban)).when(k == "person", person).otherwise(F.array(phone))
+    )
 
 
-def surrogate(e: Column, k: Column, canon: Column, key: str, attempt: Column) -> Column:
-    """The surrogate of entity `e`, of kind `k` and canonical form `canon`, in e's own format."""
-    seed = F.sha2(F.concat(F.lit(key), F.lit("|"), k, F.lit("|"), attempt.cast("string"), F.lit("|"), canon), 256)
-    digits = F.regexp_replace(e, r"\D", "")
-    drawn = lambda v: F.array_join(F.transform(F.split(v["digits"], ""), lambda _, i: F.when(i == 0, _pick(v["seed"], i, "23456789")).otherwise(_pick(v["seed"], i, "0123456789"))), "")
-    known = F.struct(seed.alias("seed"), digits.alias("digits"))
-    return _let(known, lambda v: _let(drawn(v), lambda new: _of_kind(e, k, key, attempt, v["seed"], v["digits"], new)))
-
-
-def _of_kind(e: Column, k: Column, key: str, attempt: Column, seed: Column, digits: Column, drawn: Column) -> Column:
-    """The surrogate by kind; `digits` are e's own, `drawn` as many new ones."""
-    host = F.substring_index(F.lower(e), "@", -1)
-    host_seed = F.sha2(F.concat(F.lit(key), F.lit("|host|"), attempt.cast("string"), F.lit("|"), host), 256)
-    last = F.substring_index(e, ".", -1)
-    named = F.substring_index(e, "@", -1)
-    hosted = _let(host_seed, lambda s: _mapped(F.substring(named, F.lit(1), F.length(named) - F.length(last)), s))
-    email = F.concat(_mapped(F.substring_index(e, "@", 1), seed), F.lit("@"), hosted, last)
-    ip = F.concat(F.lit("10."), F.concat_ws(".", *[_draw(seed, F.lit(i), 256).cast("string") for i in range(3)]))
-    payload = F.concat(F.substring(digits, 1, 1), F.substring(drawn, F.lit(2), F.length(digits) - 2))
-    card = _let(payload, lambda x: _filled(e, F.concat(x, _luhn(x))))
-    country = F.regexp_extract(e, r"^(\+\d{1,3})(?=\D)", 1)
-    phone = _let(country, lambda x: F.concat(x, _filled(F.substring(e, F.length(x) + 1, F.length(e)), drawn)))
-    iban = F.concat(F.substring(e, 1, 2), _mapped(F.substring(e, F.lit(3), F.length(e)), seed))
-    person = F.concat(F.regexp_extract(e, r"^(\p{L}+\.? )", 1), _new_name(_name(e), _gender(e), key, attempt))
-    return (
-        F.when(k == "email", email).when(k == "ip", ip).when(k == "ssn", _filled(e, F.concat(F.lit("9"), F.substring(drawn, F.lit(2), F.length(digits)))))
-        .when(k == "card", card).when(k == "secret", _mapped(e, seed, "abcdef")).when(k == "iban", iban)
-        .when(k == "person", person).otherwise(phone)
+def surrogate(e: Column, k: Column, key: str) -> Column:
+    """The surrogate of entity `e` of kind `k`, in e's own format; `e` itself where the kind is null."""
+    new = F.array_join(F.transform(_pieces(e, k), lambda p: F.concat(p["head"], permuted(p["core"], key, p["tweak"], p["style"]), p["tail"])), "")
+    shown = lambda x: (
+        F.when(k.isin("email", "secret", "person"), x).when(k == "ip", F.array_join(F.transform(F.split(x, r"\."), lambda y: F.conv(y, 16, 10)), "."))
+        .when(k == "card", _filled(e, F.concat(x, _luhn(x)))).when(k == "iban", _checked(e, x)).otherwise(_filled(e, x))
     )
+    return F.when(k.isNull(), e).otherwise(_let(new, shown))
 
 
-def attempts(docs: DataFrame, key: str, text_col: str = "text", max_rounds: int = 20) -> DataFrame:
-    """(kind, canon, attempt) of the distinct entities that can't have their first surrogate: a written table, mostly empty."""
+def collisions(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """(kind, new, many): surrogates that distinct entities share, or that are their entity itself; empty unless something is broken."""
     # explode_outer: the filter Spark infers for explode would look for the entities again
-    e = docs.select(F.explode_outer(entities(F.col(text_col))).alias("e")).where("e is not null").select("e", kind(F.col("e")).alias("kind")).withColumn("canon", canonical(F.col("e"), F.col("kind")))
-    own = written(e.groupBy("kind", "canon").agg(F.min("e").alias("e")), "entities").withColumn("attempt", F.lit(0))
-    for _ in range(max_rounds):
-        new = own.withColumn("new", canonical(surrogate(F.col("e"), F.col("kind"), F.col("canon"), key, F.col("attempt")), F.col("kind")))
-        new = written(new, "surrogates")
-        twice = new.groupBy("kind", "new").agg(F.count(F.lit(1)).alias("many"), F.min("canon").alias("first")).where("many > 1")
-        later = new.join(twice, ["kind", "new"]).where("canon > first").select("kind", "canon")
-        real = new.join(own.select("kind", F.col("canon").alias("new")), ["kind", "new"], "left_semi").select("kind", "canon")
-        bad = written(later.union(real).distinct(), "collisions")
-        if bad.isEmpty():
-            return own.where("attempt > 0").select("kind", "canon", "attempt")
-        own = written(own.join(bad.withColumn("hit", F.lit(1)), ["kind", "canon"], "left").select("kind", "canon", "e", (F.col("attempt") + F.coalesce("hit", F.lit(0))).alias("attempt")), "entities")
-    raise RuntimeError(f"surrogates still collide after {max_rounds} rounds")
-
-
-def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
+    e = docs.select(F.explode_outer(entities(F.col(text_col))).alias("e")).where("e is not null").select("e", kind(F.col("e")).alias("kind")).where("kind is not null")
+    own = e.withColumn("canon", canonical(F.col("e"), F.col("kind"))).groupBy("kind", "canon").agg(F.min("e").alias("e"))
+    own = own.select("kind", "canon", canonical(surrogate(F.col("e"), F.col("kind"), key), F.col("kind")).alias("new"))
+    return own.groupBy("kind", "new").agg(F.count(F.lit(1)).alias("many"), F.max(F.col("canon") == F.col("new")).alias("same")).where("many > 1 or same").select("kind", "new", "many")
+
+
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts: bool = False, check: bool = False) -> DataFrame:
     """`docs` with surrogates in the text; all rows and columns as they were (`counts` adds n_entities and entity_kinds).
 
-    Null, empty and clean texts are unchanged. Rows that share a doc_id, null ones too, are rewritten each by itself.
+    A full name that a title marks in a text is also replaced where it stands in that text without one. Null, empty and
+    clean texts are unchanged, and each row is rewritten by itself. `check` holds all distinct entities of the corpus
+    against each other first and raises an error if two share a surrogate.
     """
-    again = attempts(docs, key, text_col)
-    found, tries = column_name(docs, "pii_found"), column_name(docs, "pii_tries")
-    rows = docs.withColumn(found, entities(F.col(text_col)))
-    attempt = lambda k, c: F.lit(0)
-    if not again.isEmpty():
-        row_key = column_name(docs, "pii_key")
-        rows = rows.withColumn(row_key, F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h")))
-        e = rows.select(row_key, F.explode(found).alias("e")).select(row_key, kind(F.col("e")).alias("kind"), canonical(F.col("e"), kind(F.col("e"))).alias("canon"))
-        e = e.join(again, ["kind", "canon"]).groupBy(row_key).agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias(tries))
-        rows = rows.join(e, row_key, "left")
-        attempt = lambda k, c: F.coalesce(F.try_element_at(F.col(tries), F.concat_ws("|", k, c)), F.lit(0))
-    one = lambda x: _let(kind(x), lambda k: _let(canonical(x, k), lambda c: surrogate(x, k, c, key, attempt(k, c))))
+    if check and (bad := collisions(docs, key, text_col).first()) is not None:
+        raise RuntimeError(f"surrogates collide for a {bad.kind}")
+    found, new = column_name(docs, "pii_found"), column_name(docs, "pii_new")
+    kinds = lambda: F.transform(found, lambda x: kind(x))
+    rows = docs.withColumn(found, entities(F.col(text_col))).withColumn(new, F.transform(found, lambda x: _let(kind(x), lambda k: surrogate(x, k, key))))
+    plain = lambda x: F.regexp_replace(_name(x), r"['’]s$", "")
+    pairs = F.zip_with(found, new, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    full = F.array_distinct(F.transform(F.filter(pairs, lambda p: p["a"].rlike(rf"^(?:{_TITLE})\.? [^ ]+ [^ ]")), lambda p: F.struct(plain(p["a"]).alias("a"), plain(p["b"]).alias("b"))))
+    gap = lambda g: F.aggregate(full, g, lambda t, n: F.regexp_replace(t, F.concat(F.lit(r"(?<!\p{L})\Q"), n["a"], F.lit(r"\E(?!\p{L})")), n["b"]))
     gaps = F.split(F.col(text_col), _ANY)
-    text = F.when(F.size(found) > 0, F.array_join(F.zip_with(gaps, F.transform(found, lambda x: one(x)), lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")).otherwise(F.col(text_col))
+    joined = F.zip_with(gaps, new, lambda g, s: F.concat(gap(g), F.coalesce(s, F.lit(""))))
+    text = F.when(F.size(found) > 0, F.array_join(joined, "")).otherwise(F.col(text_col))
     out = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
     if counts:
-        out += [F.size(found).cast("long").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda x: kind(x)))), ",").alias("entity_kinds")]
+        real = F.filter(kinds(), lambda k: k.isNotNull())
+        out += [F.size(real).cast("long").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct(real)), ",").alias("entity_kinds")]
     return rows.select(*out)

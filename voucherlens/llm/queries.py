@@ -44,7 +44,7 @@ TRIAL_KEY = "trial key"
 
 
 def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), TRIAL_KEY, counts=True)
+    return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), TRIAL_KEY, counts=True, check=True)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
