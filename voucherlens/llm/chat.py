@@ -1,10 +1,10 @@
 """Chat formatting in budgeted windows.
 
 Method: every turn's tokens are counted and prefix-summed along its conversation (range-partitioned rows with carries
-between partitions, so one huge conversation is summed by many tasks). A turn belongs to the window its prefix falls in,
-so windows are turn-aligned and hold the budget and one turn more at most. Turns that lie within the history allowance
-before a window are repeated in it, the conversation's system turn too; the loss mask covers each assistant text once,
-in the window it belongs to. Control strings inside texts and roles are broken up reversibly.
+between partitions, so one huge conversation is summed by many tasks). A turn belongs to the span its prefix falls in; one
+that is long and crosses the span's end is a window of its own, so windows are turn-aligned and within the budget. The
+conversation's system turn and the last turns of the window before are repeated where the budget allows; the loss mask
+covers each assistant text once, in the window it belongs to. Control strings inside texts and roles are broken up reversibly.
 """
 
 from __future__ import annotations
@@ -76,38 +76,50 @@ def format_conversations(turns: DataFrame, json_path: str, ranks_path: str | Non
 
     `turns` has conv_id, turn, role, text (further columns are ignored). `loss` lists the (start, stop) characters of
     assistant texts that are trained on; text before `new_from` repeats the system turn and history. Turns of one number
-    follow by role and text. Null texts are empty turns; rows of a null conv_id make one conversation (its system turn
-    isn't repeated). A turn longer than the budget stays whole in a window that is longer.
+    follow by role and text. Null texts are empty turns; rows of a null conv_id make one conversation. No window exceeds
+    the budget, but for one that holds a single longer turn; a quarter of the budget is left free for the system turn, and
+    the system turn, then the history, are left out where they don't fit.
     """
-    if not 0 <= history < budget:
-        raise ValueError("history must be less than the budget")
-    span = budget - history
+    if not 0 <= history <= budget // 2:
+        raise ValueError("history must be half the budget at most")
+    room = max(1, budget - budget // 4 - history)
+    long = room // 4
+    span = max(1, room - long)
     turns = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    rows = written(_prefixed(turns, (json_path, ranks_path, pattern)), "prefixed")
-    at = F.floor(F.col("before") / span).cast("long")
-    turn = lambda kind: F.struct(F.lit(kind).alias("kind"), "before", "role", "text", "tokens")
-    own = rows.select("conv_id", at.alias("window"), turn(2).alias("t"))
-    first = (F.col("before") == 0) & (F.col("role") == "system")
-    again = rows.where(~F.coalesce(first, F.lit(False)) & (F.col("before") >= (at + 1) * span - history)).select("conv_id", (at + 1).alias("window"), turn(1).alias("t"))
-    later = own.where("window > 0").select("conv_id", "window").distinct()
-    system = rows.where(first).select("conv_id", turn(0).alias("t"))
-    parts = own.unionByName(again).unionByName(later.join(system, "conv_id").select("conv_id", "window", "t"))
-    groups = parts.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list("t")).alias("ts"))  # a budget of turns each
-    groups = groups.where(F.exists("ts", lambda t: t["kind"] == 2))
+    rows = written(_prefixed(turns, (json_path, ranks_path, pattern)), "prefixed").withColumn("c", F.struct("conv_id"))
+    at, end = F.floor(F.col("before") / span).cast("long"), F.col("before") + F.col("tokens")
+    alone = (end > (at + 1) * span) & (F.col("tokens") > long)
+    turn = F.struct("before", "role", "text", "tokens").alias("t")
+    own = rows.groupBy("c", at.alias("at"), alone.alias("alone")).agg(F.sort_array(F.collect_list(turn)).alias("ts"))  # a budget of turns each
+    # turns follow without a gap: where one window ends, the next begins
+    last = F.element_at("ts", -1)
+    own = own.select("c", F.get("ts", F.lit(0))["before"].alias("start"), (last["before"] + last["tokens"]).alias("end"), "ts")
+    tails = own.select("c", F.col("end").alias("start"), F.filter("ts", lambda t: t["before"] >= F.col("end") - history).alias("again")).where(F.size("again") > 0)
+    system = rows.where((F.col("before") == 0) & (F.col("role") == "system") & (F.col("tokens") <= budget)).groupBy("c").agg(F.min(turn).alias("system"))
+    groups = own.join(tails, ["c", "start"], "left").join(system, "c", "left").select("c.conv_id", F.col("start").alias("window"), "ts", F.when(F.col("start") > 0, F.col("system")).alias("system"), "again")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, news, losses, sizes = [], [], [], []
-            for ts in batch.column(2):
-                text, at, loss, new, tokens = [], 0, [], None, 0
-                for t in ts.as_py():
+            for ts, first, again in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4)], strict=True):
+                left = budget - sum(t["tokens"] for t in ts)
+                head, tail = [], []
+                if first and first["tokens"] <= left:
+                    head.append(first)
+                    left -= first["tokens"]
+                for t in reversed(again or []):
+                    if t["tokens"] > left or (t["before"] == 0 and first):
+                        break
+                    tail.insert(0, t)
+                    left -= t["tokens"]
+                text, at, loss, new, tokens = [], 0, [], 0, 0
+                for t, is_new in [(t, False) for t in head + tail] + [(t, True) for t in ts]:
                     one, a, b = turn_text(t["role"], t["text"])
-                    if t["kind"] == 2:
-                        new = at if new is None else new
-                        if t["role"] == "assistant":
-                            loss.append({"start": at + a, "stop": at + b})
+                    if is_new and t["role"] == "assistant":
+                        loss.append({"start": at + a, "stop": at + b})
                     text.append(one)
                     at += len(one)
+                    new += 0 if is_new else len(one)
                     tokens += t["tokens"]
                 texts.append("".join(text))
                 news.append(new)
