@@ -93,12 +93,21 @@ def _value(rule: str) -> Column:
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(X <= k) for X ~ Binomial(n, p), exactly but for rounding."""
-    if k >= n:
-        return 1.0
-    terms = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    top = max(terms)
-    return min(1.0, math.exp(top) * sum(math.exp(t - top) for t in terms))
+    """P(X <= k) for X ~ Binomial(n, p), exactly but for rounding.
+
+    Terms fall away from the mean, so either tail's sum ends where they no longer count: its length is some square roots of n.
+    """
+    if k < 0 or k >= n:
+        return float(k >= n)
+    low = k < n * p
+    i = k if low else k + 1
+    term = math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p))
+    total = 0.0
+    while term > total * 1e-18 and 0 <= i <= n:
+        total += term
+        term *= i * (1 - p) / ((n - i + 1) * p) if low else (n - i) * p / ((i + 1) * (1 - p))
+        i += -1 if low else 1
+    return min(1.0, total) if low else max(0.0, 1 - total)
 
 
 def choose(good: list[int], bad: list[int], n_good: int, n_bad: int, risk: float, level: float) -> float:
