@@ -144,22 +144,22 @@ def _stem(n: int):
     return lambda w: F.concat(F.substring(w, 1, n), F.lit("*"))
 
 
-def lexicon(marked: DataFrame, most: int = 5000, least_docs: int = 3) -> list[str]:
-    """Terms of (text, toxic) rows that toxic texts have and others hardly: at most `most`, the commonest first.
+def lexicon(marked: DataFrame, least_docs: int = 3) -> list[str]:
+    """Terms of (text, toxic) rows that toxic texts have and others hardly, the commonest first; as many as the bounded sample has.
 
     Texts that repeat count once. A stem gives way to a word or longer stem that covers nearly the same documents.
     """
     own = marked.groupBy(F.xxhash64("text").alias("h")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text"))
     found = own.select("toxic", F.explode(_parts(F.col("text"))).alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("n"))
     found = found.where((F.col("a") >= least_docs) & ((F.col("a") + 0.5) / (F.col("n") + 1) >= 0.8))
-    rows = found.orderBy(F.desc("a"), F.desc(F.length(F.regexp_replace("term", r"\*", ""))), F.desc("term")).limit(4 * most).collect()  # bounded by the parameter
+    rows = found.orderBy(F.desc("a"), F.desc(F.length(F.regexp_replace("term", r"\*", ""))), F.desc("term")).collect()  # terms of the bounded sample
     whole, out = {}, []
     for r in rows:
         word = r.term.rstrip("*")
         if not any(word.startswith(x) or x.startswith(word) for x in whole.get(word[:3], ())):
             whole.setdefault(word[:3], []).append(word)
             out.append(r.term)
-    return out[:most]
+    return out
 
 
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
