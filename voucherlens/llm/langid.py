@@ -1,10 +1,12 @@
 """Language identification by character language models.
 
 Method: one interpolated Kneser-Ney model of order four per language. Four-gram counts over all training documents are
-gathered as per-partition partial sums; lower orders (continuation counts) follow from them. A model is a set of sorted
-64-bit key arrays with their values; its size is bounded by a count threshold read off a histogram, so it may be sent to
-all executors. A document's language is that of the lowest length-normalised cross-entropy. A small hashed sample sets
-how steeply entropy differences become a probability, and the entropy beyond which a language's verdict is rejected.
+gathered as per-partition partial sums; continuation counts, discounts, context totals and probabilities are worked out in
+Spark over all of them. A model is a set of sorted 64-bit key arrays with their values. Only `keep` entries of an order and
+language, the commonest, are sent to the executors: one left out falls back on the next lower order, whose weight and
+values stay those of the whole corpus. A document's language is that of the lowest length-normalised cross-entropy. A small
+hashed sample that isn't counted sets how steeply entropy differences become a probability, and the entropy beyond which a
+language's verdict is rejected.
 """
 
 from __future__ import annotations
@@ -16,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voucherlens.llm.common import held_out, written
+from voucherlens.llm.common import discard, held_out, written
 
 UNKNOWN = "und"
 _BLOCK = 1 << 20  # characters worked on at once
-_M48, _M32, _M16 = np.uint64(2**48 - 1), np.uint64(2**32 - 1), np.uint64(2**16 - 1)
+_M48, _M32, _M16 = np.uint64(2**48 - 1), np.uint64(2**32 - 1), np.uint64(2**16 - 1)  # lower orders
 _S16 = np.uint64(16)
 
 
@@ -98,23 +100,51 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def _discount(n: np.ndarray) -> float:
-    one, two = int((n == 1).sum()), int((n == 2).sum())
-    return one / (one + 2 * two) if one and two else 0.5
+def orders(counts: DataFrame) -> list[DataFrame]:
+    """For orders 4 to 1: (lang, key, n, mass, context, rest), from (lang, gram, n): the discounted share of a gram in its context, and what is left to the next order there."""
+    out, own = [], counts.select("lang", F.col("gram").alias("key"), "n")
+    for order in (4, 3, 2, 1):
+        bits = F.sum((F.col("n") == 1).cast("long")).alias("one"), F.sum((F.col("n") == 2).cast("long")).alias("two")
+        d = own.groupBy("lang").agg(*bits).select("lang", F.when((F.col("one") > 0) & (F.col("two") > 0), F.col("one") / (F.col("one") + 2 * F.col("two"))).otherwise(0.5).alias("d"))
+        own = own.withColumn("context", F.shiftrightunsigned("key", 16))
+        contexts = own.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+        # a row for each language
+        full = own.join(contexts, ["lang", "context"]).join(F.broadcast(d), "lang")
+        full = full.select("lang", "key", "n", (F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total")).alias("mass"), "context", (F.col("d") * F.col("kinds") / F.col("total")).alias("rest"))
+        out.append(written(full, f"order{order}"))
+        if order > 1:
+            own = out[-1].groupBy("lang", F.col("key").bitwiseAND(F.lit((1 << 16 * (order - 1)) - 1)).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    return out
+
+
+def commonest(table: DataFrame, keep: int) -> DataFrame:
+    """The rows of a table of orders() that are sent out: of each language those above the least count that leaves `keep` at most."""
+    step = F.floor(F.log2("n")).cast("int")
+    grade = F.when(F.col("n") < 1024, F.col("n")).otherwise(1024 + step)  # counts up to 1023, then powers of two
+    sizes = table.groupBy("lang", grade.alias("grade")).agg(F.count(F.lit(1)).alias("many")).collect()  # about 1,000 rows a language at most
+    least = {}
+    for lang in {r.lang for r in sizes}:
+        total, least[lang] = 0, 0
+        for r in sorted((r for r in sizes if r.lang == lang), key=lambda r: -r.grade):
+            total += r.many
+            if total > keep:
+                least[lang] = r.grade + 1
+                break
+    cut = [lang for lang in least if least[lang] > 0]
+    if not cut:
+        return table
+    limit = F.coalesce(F.try_element_at(F.create_map(*[x for lang in cut for x in (F.lit(lang), F.lit(least[lang]))]), F.col("lang")), F.lit(0))
+    return table.where(grade >= limit)
 
 
 class KneserNey:
-    """One language's model, from its four-grams and their counts; `letters`: how many codes there may be."""
+    """One language's model, from (keys, masses, contexts, rests) of orders 4 to 1; `letters`: how many codes there may be."""
 
-    def __init__(self, keys: np.ndarray, n: np.ndarray, letters: int):
+    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], letters: int):
         self.orders = []
-        for order in (4, 3, 2, 1):
-            d, contexts = _discount(n), keys >> _S16
-            kinds, inverse = np.unique(contexts, return_inverse=True)
-            total = np.bincount(inverse, weights=n)
-            self.orders.append((keys, np.maximum(n - d, 0) / total[inverse], kinds, d * np.bincount(inverse) / total))
-            if order > 1:
-                keys, n = np.unique(keys & (_M48, _M32, _M16)[4 - order], return_counts=True)
+        for keys, mass, contexts, rest in tables:
+            order, (kinds, first) = np.argsort(keys), np.unique(contexts, return_index=True)
+            self.orders.append((keys[order], mass[order], kinds, rest[first]))
         self.floor = 1.0 / letters
 
     def log2(self, g: np.ndarray) -> np.ndarray:
@@ -127,6 +157,8 @@ class KneserNey:
 
 
 def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
+    if not len(keys):
+        return np.full(len(wanted), default)
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
     return np.where(keys[at] == wanted, values[at], default)
 
@@ -173,44 +205,31 @@ class Model:
         self.most = np.full(len(langs), np.inf) if most is None else most
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: int = 200_000, max_langs: int = 200, sample: int = 4000) -> Model:
-    """Models of all languages of the documents that aren't held out: counts over all of them, then the commonest `keep` four-grams of each."""
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: int = 500_000, sample: int = 4000) -> Model:
+    """Models of all languages of the documents that aren't held out, counted over all of them but some `sample` (a tenth at most) that calibrate."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"))
-    counts = written(gram_counts(rows.select("lang", "text")), "grams")
-    sizes = counts.groupBy("lang", F.least("n", F.lit(1000)).alias("n")).agg(F.count(F.lit(1)).alias("kinds")).limit(1000 * max_langs + 1).collect()
-    langs = sorted({r.lang for r in sizes})
-    if len(langs) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
-    least = {}
-    for lang in langs:
-        total, least[lang] = 0, 1000
-        for r in sorted((r for r in sizes if r.lang == lang), key=lambda r: -r.n):
-            total += r.kinds
-            if total > keep and r.n < 1000:
-                break
-            least[lang] = r.n
-    wanted = F.lit(False)
-    for lang in langs:
-        wanted = wanted | ((F.col("lang") == lang) & (F.col("n") >= least[lang]))
-    table = counts.where(wanted).toPandas() if langs else None  # at most keep rows a language, but for ties at 1000
-    letters = 1 + (len(np.unique(table["gram"].to_numpy().view(np.uint64) & _M16)) if langs else 0)
+    share = min(0.1, sample / max(1, rows.count()))
+    few = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_003)) < share * 1_000_003
+    counts = written(gram_counts(rows.where(~few).select("lang", "text")), "grams")
+    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
+    tables = orders(counts)
+    letters = 1 + tables[-1].select("key").distinct().count()
+    frames = [commonest(t, keep).select("lang", "key", "mass", "context", "rest").toPandas() for t in tables]  # `keep` rows a language at most
+    discard(counts, *tables)
     models = []
     for lang in langs:
-        own = table[table["lang"] == lang].sort_values("gram")
-        keys, n = own["gram"].to_numpy().view(np.uint64), own["n"].to_numpy()
-        order = np.argsort(keys)
-        models.append(KneserNey(keys[order], n[order], letters))
+        own = [f[f["lang"] == lang] for f in frames]
+        models.append(KneserNey([(f["key"].to_numpy(np.int64).view(np.uint64), f["mass"].to_numpy(float), f["context"].to_numpy(np.int64).view(np.uint64), f["rest"].to_numpy(float)) for f in own], letters))
     model = Model(langs, models)
     if langs:
-        share = sample / max(1, rows.count())
-        few = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_003)) < share * 1_000_003)
-        seen = _entropies(few.select("doc_id", F.col("lang"), F.lit(False).alias("held_out"), "text"), model).where("letters > 0").select("lang", "bits").toPandas()  # about `sample` rows
+        seen = _entropies(rows.where(few).select("doc_id", F.col("lang"), F.lit(False).alias("held_out"), "text"), model).where("letters > 0").select("lang", "bits").toPandas()  # about `sample` rows
+        seen = seen[seen["lang"].isin(langs)]
         _calibrate(model, seen["lang"].tolist(), np.array(seen["bits"].tolist()).reshape(len(seen), len(langs)))
     return model
 
 
 def _calibrate(model: Model, langs: list[str], bits: np.ndarray) -> None:
-    """Sets `steep` to the value of least log loss, and `most` to the 99.9 % point of each language's own documents, with slack."""
+    """Sets `steep` to the value of least log loss, and `most` to the 99.9 % point of each language's own documents, with a tenth of slack."""
     if not langs:
         return
     at = np.array([model.langs.index(x) for x in langs])
@@ -221,7 +240,7 @@ def _calibrate(model: Model, langs: list[str], bits: np.ndarray) -> None:
     model.steep = min(losses, key=losses.get)
     for j in range(len(model.langs)):
         own = bits[at == j, j]
-        model.most[j] = 1.2 * np.quantile(own, 0.999) if len(own) else np.inf
+        model.most[j] = 1.1 * np.quantile(own, 0.999) if len(own) else np.inf
 
 
 def _entropies(rows: DataFrame, model: Model) -> DataFrame:
