@@ -150,7 +150,7 @@ def brute_hits(docs, items, n=10):
     return out
 
 
-@pytest.mark.parametrize("limit", [100_000, 0])
+@pytest.mark.parametrize("limit", [{}, {"max_grams": 0}, {"max_grams": 0, "max_set": 0}])
 def test_decontamination_against_brute_force(spark, limit):
     r = random.Random(3)
     vocab = [a + b for a in "abcé" for b in "xyz1"]
@@ -167,7 +167,7 @@ def test_decontamination_against_brute_force(spark, limit):
     docs += [(900, None, "x", "k", 1, "w"), (901, "", "x", "k", 1, "w"), (902, "...", None, None, None, None)]
     d, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")
     keyed = d.select(d.doc_id.alias("k"), decontam.words(d.text).alias("w"))
-    got = decontam.scan(keyed, b.select("item_id", decontam.words(b.text).alias("w")), max_grams=limit)
+    got = decontam.scan(keyed, b.select("item_id", decontam.words(b.text).alias("w")), **limit)
     got = {r.k: (r.n_words, len({p for s in r.spans for p in range(s.start, s.stop)}), set(r["items"])) for r in got.collect()}
     assert got == brute_hits(docs, items)
     assert any(x[1] for x in got.values()) and not all(x[1] for x in got.values() if x[0])
@@ -184,3 +184,14 @@ def test_decontamination_removal(spark):
     assert decontam.decontaminate(d, none).count() == 4 and decontam.decontaminate(d.limit(0), b).count() == 0
     assert decontam.report(d, none).count() == 4
     assert hashlib.sha256(b"").hexdigest()[:4] == "e3b0"
+
+
+def test_decontamination_of_repeated_rows_and_a_long_item(spark):
+    r = random.Random(5)
+    item = " ".join(f"w{r.randrange(10**6)}" for _ in range(50_000))
+    part = " ".join(item.split()[700:712])
+    df = spark.createDataFrame([(1, part), (1, part), (1, part), (2, "x " + part + " y"), (3, "clean")], "doc_id long, text string")
+    b = spark.createDataFrame([("a", item)], "item_id string, text string")
+    assert sorted((x.k.doc_id, x.n_hit) for x in decontam.report(df, b).collect()) == [(1, 12)] * 3 + [(2, 12), (3, 0)]
+    assert [x.doc_id for x in decontam.decontaminate(df, b).collect()] == [3]
+    assert decontam.decontaminate(df, b, remove="spans").count() == 5

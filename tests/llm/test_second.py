@@ -189,14 +189,26 @@ def test_toxicity_learns_quotes_and_misspellings(spark):
     assert none == [] and toxicity.score(docs.limit(3), none, w).count() == 3
 
 
-def test_kneser_ney_is_a_distribution():
+def _model(tables, letters):
+    rows = [t.toPandas() for t in tables]
+    return langid.KneserNey([(f["key"].to_numpy(np.int64).view(np.uint64), f["mass"].to_numpy(float), f["context"].to_numpy(np.int64).view(np.uint64), f["rest"].to_numpy(float)) for f in rows], letters)
+
+
+def test_kneser_ney_is_a_distribution(spark):
     text = np.array([ord(c) for c in "   the cat sat on the mat that the rat sat at "], dtype=np.uint16)
     keys, n = np.unique(langid.grams(text), return_counts=True)
     letters = sorted(set(text.tolist()))
-    model = langid.KneserNey(keys, n, len(letters))
+    counts = spark.createDataFrame([("x", k, m) for k, m in zip(keys.view(np.int64).tolist(), n.tolist(), strict=True)], "lang string, gram long, n long")
+    tables = langid.orders(counts)
+    model = _model(tables, len(letters))
     for context in ("the", " ca", "zzz", "at "):
         g = np.array([sum(ord(c) << s for c, s in zip(context, (48, 32, 16), strict=True)) + x for x in letters], dtype=np.uint64)
         assert (2.0 ** model.log2(g)).sum() == pytest.approx(1.0)
+    # an entry that isn't sent out leaves the others' values as they are
+    few = [langid.commonest(t, 9) for t in tables]
+    assert [x.count() <= 9 for x in few] == [True] * 4 and 0 < few[0].count() < tables[0].count()
+    whole = {r.key: (r.mass, r.rest) for r in tables[0].collect()}
+    assert all(whole[r.key] == (r.mass, r.rest) and r.n > 1 for r in few[0].collect())
 
 
 def test_language_id(spark):
@@ -284,6 +296,34 @@ def test_surrogates_stay_distinct(spark):
     assert not {a for a, _ in pairs} & {b for _, b in pairs}
 
 
+def test_binomial_tail_of_millions_is_quick():
+    assert quality.binomial_tail(2_000_000, 40_000_000, 0.05) == pytest.approx(0.5, abs=0.01) and quality.binomial_tail(1_000_000, 40_000_000, 0.05) < 1e-300
+
+
+def test_lexicon_has_no_rank_cut(spark):
+    words = ["".join(chr(97 + i // 26**j % 26) for j in range(4)) + "q" for i in range(5200)]
+    rows = [(" ".join(words[i : i + 40]) + f" {j}", 1) for i in range(0, 5200, 40) for j in "abc"]
+    assert len({t for t in toxicity.lexicon(spark.createDataFrame(rows, "text string, toxic int"))}) > 5000
+
+
+def test_chat_windows_keep_to_the_budget(spark):
+    r = random.Random(4)
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    say = lambda n: " ".join(r.choice(["one", "two", "three"]) for _ in range(n))
+    rows = [(c, t, "system" if t == 0 else ["user", "assistant"][t % 2], say(r.choice([0, 3, 20, 60, 110, 400 if c == 2 else 5]))) for c in (1, 2, None) for t in range(60)]
+    rows += [(3, 0, "system", say(240)), (3, 1, "user", "a"), (3, 2, "assistant", "b"), (4, 0, "system", say(2000)), (4, 1, "user", say(100)), (4, 2, "assistant", "c")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    wins = chat.format_conversations(df, *files, budget=256, history=64).collect()
+    for w in wins:
+        turns = chat.read_turns(w.text, w.new_from)
+        assert w.tokens <= 256 or len(turns) == 1 == len(chat.read_turns(w.text))
+    for c in (1, 2, 3, 4, None):
+        said = [x for w in sorted((w for w in wins if w.conv_id == c), key=lambda w: w.window) for x in chat.read_turns(w.text, w.new_from)]
+        assert said == [(role, text) for k, _, role, text in rows if k == c]
+    later = [w for w in wins if w.conv_id in (1, None) and w.window > 0]
+    assert later and all(w.text.startswith("<|im_start|>system") for w in later if w.tokens < 190) and any(w.new_from > 0 for w in later)
+
+
 def test_escape_round_trip():
     r = random.Random(11)
     parts = [*chat.CONTROLS, "\\", ".", "n", "\n", "<", "|", "[", "a", "\\.", "\\n"]
