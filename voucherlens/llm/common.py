@@ -24,8 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Lets Spark delete a query's shuffle files as soon as the query ends.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Lets Spark delete a query's shuffle files as soon as the query ends, and hands Python workers less at a time than the usual 64 MB.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -35,12 +35,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/voucherlens/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
+    for k, v in _WHILE_WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     _file_system(spark, path)[0].deleteOnExit(_file_system(spark, path)[1])
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
