@@ -191,7 +191,7 @@ def test_sources(spark, tmp_path):
     lines = spark.createDataFrame([(0, "12"), (1, "see https://www.gbif.org/occurrence/99 and gbif.org/en/occurrence/12"), (2, "no 5")], "pos int, line string")
     assert [r.id for r in readers.parse_ids(lines, "line").collect()] == ["12", "99"]
     (tmp_path / "r").mkdir()
-    (tmp_path / "r" / "1.json").write_text(json.dumps({"darwin_core": {"genus": "Abies", "species": "alba", "country": "unknown"}, "meta": {"model": "m"}}))
+    (tmp_path / "r" / "1.json").write_text(json.dumps({"darwin_core": {"genus": "Abies", "specificEpithet": "alba", "country": "unknown"}, "meta": {"model": "m"}}))
     (tmp_path / "r" / "2.json").write_text(json.dumps({"error": "no"}))
     (tmp_path / "r" / "3.json").write_text(json.dumps({"collector": "Y", "tokens_in": 3}))
     got = {r.scientificName: r for r in readers.core_columns(readers.read_records(spark, str(tmp_path / "r"))).collect()}
@@ -227,3 +227,33 @@ def test_entry_has_queries():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "field_scores" in e.queries()
+
+
+@pytest.mark.parametrize(
+    ("text_", "want"),
+    [
+        ("1982.02.05", ("DATE", "1982-02-05")), ("1982,22,5", ("DATE", "1982-05-22")), ("1982.2.5", ("AMBIGUOUS", "1982-02-05/1982-05-02")),
+        ("Friday 29th Oct. 2021", ("DATE", "2021-10-29")), ("Monday 29th Oct. 2021", ("NOT_RUN", None)), ("05-XXX-1884", ("RANGE", "1884-01-05/1884-12-05")),
+        ("19 3/viii 25", ("DATE", "1925-08-03")), ("3 agosto 1925", ("DATE", "1925-08-03")), ("3 Rhagfyr 1925", ("DATE", "1925-12-03")), ("1972年3月25号", ("DATE", "1972-03-25")),
+        ("02-1982", ("RANGE", "1982-02")), ("[no year]", ("NOT_RUN", None)), (None, ("NOT_RUN", None)), ("", ("NOT_RUN", None)),
+    ],
+)
+def test_verbatim_forms(text_, want):
+    assert dates.read_verbatim(text_) == want
+
+
+def test_durations_free_dates_and_schema(spark):
+    rows = [("2020-01-01", 86400), ("2020-01-01T10:00:00Z", 0), ("2020-01-01T10:00/2020-01-01T11:00", 3600), ("2020-01-01T10:00:00/T11:00:00", 3600), ("2020-01-01T10:00/2020-01-02", None), (None, None), ("2020", 366 * 86400)]
+    df = spark.createDataFrame(rows, "t string, want long")
+    assert [x.got for x in df.select(dates.duration_seconds(F.col("t")).alias("got")).collect()] == [w for _, w in rows]
+    pairs = [("May 1854", "1854-05", 1.0), ("12 Jun 1923", "1923-06-12", 1.0), ("06/12/1923", "1923-06-12", 1.0), ("25/12/1923", "1923-12-25", 1.0), ("about", "1923", 0.0)]
+    df = spark.createDataFrame(pairs, "a string, b string, want double")
+    assert [x.got for x in df.select(dates.date_accuracy(F.col("a"), F.col("b")).alias("got")).collect()] == [w for *_, w in pairs]
+    df = spark.createDataFrame([({"collectorName": "X", "elevation": "120", "location": "not recorded", "taxon_name": "Abies alba"},)], "core map<string,string>")
+    got = readers.core_columns(df).first()
+    assert (got.recordedBy, got.minimumElevationInMeters, got.locality, got.scientificName) == ("X", "120", "", "Abies alba")
+    got = checks.prepare(spark.createDataFrame([("Picea", "", "1966-05-00"), ("Picea", "Abies", None)], "genus string, genericName string, eventDate string")).collect()
+    assert [(x.genericName, x.eventDate) for x in got] == [("Picea", "1966-05"), ("Abies", None)]
+    many = spark.range(12).selectExpr("concat('m', id) model", "10L tokens_in", "10L tokens_out", "false is_batch", "false is_local")
+    assert rollup.cost(many, many.selectExpr("model", "1.0D in_per_m", "1.0D out_per_m")).where("cost_usd is null").count() == 0
+    assert "first 3 rows only" in sinks.page("t", many, 3) and "rows only" not in sinks.page("t", many, 12)

@@ -57,25 +57,26 @@ def components(c: Column) -> Column:
     return F.when(text.rlike(r"^\d{4}(-\d{1,2}){0,2}$"), F.struct(p.alias("precision"), y.alias("y"), m.alias("m"), d.alias("d")))
 
 
-def fuzzy_components(today: str):
-    """An Arrow UDF: `components` for free-form dates by a fuzzy parser; missing parts don't count. For distinct values."""
-    base = dt.datetime.fromisoformat(today)
+def free_components(c: Column) -> Column:
+    """`components` of English free forms (May 1854; 12 Jun 1923; 06/12/1923, month first where it can be), or null."""
+    return let(F.lower(F.trim(c)), lambda text: F.when(text.rlike(r"[a-z]{3}.*\d{4}|\d{4}.*[a-z]{3}"), _named(text)).otherwise(_numeric(text)))
 
-    def parse(values: pd.Series) -> pd.DataFrame:
-        from dateutil import parser
 
-        out = []
-        for v in values:
-            try:
-                found = parser.parse(v, default=base, fuzzy=True)
-                days = [int(x) for x in re.findall(r"(?<!\d)\d{1,2}(?!\d)", v)]
-                exact = any(1 <= x <= 31 and x != found.month or x == found.day for x in days)
-                out.append((3, found.year, found.month, found.day) if exact else (2, found.year, found.month, None))
-            except (ValueError, OverflowError, TypeError):
-                out.append((None, None, None, None))
-        return pd.DataFrame(out, columns=["precision", "y", "m", "d"]).astype("Int32")
+def _named(text: Column) -> Column:
+    part = F.struct(
+        F.regexp_extract(text, r"(?<!\d)(\d{4})(?!\d)", 1).try_cast("int").alias("y"),
+        F.instr(F.lit("..janfebmaraprmayjunjulaugsepoctnovdec"), F.regexp_extract(text, r"(?<![a-z])(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*", 1)).alias("at"),
+        F.regexp_extract(text, r"(?<!\d)(0?[1-9]|[12]\d|3[01])(?:st|nd|rd|th)?(?![\da-z])", 1).try_cast("int").alias("d"),
+    )
+    return let(part, lambda x: F.when((x["at"] > 2) & x["y"].isNotNull(), F.struct(F.when(x["d"].isNull(), 2).otherwise(3).alias("precision"), x["y"].alias("y"), F.floor(x["at"] / 3).cast("int").alias("m"), x["d"].alias("d"))))
 
-    return F.pandas_udf(parse, "precision int, y int, m int, d int")
+
+def _numeric(text: Column) -> Column:
+    """Month first where it can be; a day that looks like the month is no sign of a day."""
+    part = F.struct(*[F.regexp_extract(text, r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})$", i).try_cast("int").alias(n) for i, n in enumerate("aby", 1)])
+    ordered = lambda x: F.struct(x["y"].alias("y"), F.when(x["a"] > 12, x["b"]).otherwise(x["a"]).alias("m"), F.when(x["a"] > 12, x["a"]).otherwise(x["b"]).alias("d"))
+    told = lambda x: F.when(x["m"].between(1, 12) & x["d"].between(1, 31), F.struct(F.when(x["m"] == x["d"], 2).otherwise(3).alias("precision"), x["y"].alias("y"), x["m"].alias("m"), F.when(x["m"] != x["d"], x["d"]).alias("d")))
+    return let(part, lambda x: let(ordered(x), told))
 
 
 def date_score(truth: Column, found: Column) -> Column:
@@ -91,17 +92,23 @@ def date_score(truth: Column, found: Column) -> Column:
 def date_accuracy(truth: Column, found: Column) -> Column:
     """`date_score` of two texts; missing ones score 0."""
     gone = lambda c: F.lower(F.trim(F.coalesce(c, F.lit("")))).isin(CLEAN_NULLS)
-    both = F.struct(components(truth).alias("t"), components(found).alias("e"))
+    any_ = lambda c: let(c, lambda x: F.coalesce(components(x), free_components(x)))
+    both = F.struct(any_(truth).alias("t"), any_(found).alias("e"))
     return F.when(gone(truth) | gone(found), 0.0).otherwise(let(both, lambda x: date_score(x["t"], x["e"])))
 
 
 # Month names by number, in the languages labels are written in; roman months.
 MONTHS = {
-    1: "january jan januar jänner janvier januarii", 2: "february feb februar février fevrier februarii", 3: "march mar märz maerz mars martii",
-    4: "april apr avril aprilis", 5: "may mai maii", 6: "june jun juni juin junii", 7: "july jul juli juillet julii",
-    8: "august aug août aout augusti", 9: "september sept sep septembre septembris", 10: "october oct oktober okt octobre octobris",
-    11: "november nov novembre novembris", 12: "december dec dezember dez décembre decembre decembris",
+    1: "january jan januar jänner janvier janv januarii gennaio enero ionawr janauary jnry 一月",
+    2: "february feb febr februar février fevrier februarii febbraio febrero chwefror febuary 二月",
+    3: "march mar märz maerz mars martii marzo marts mawrth mrch 三月", 4: "april apr avril aprilis aprile abril ebrill 四月",
+    5: "may mai maii maggio mayo maj 五月", 6: "june jun juni juin junii giugno junio mehefin 六月",
+    7: "july jul jly jully juli juillet julii luglio julio gorffennaf 七月", 8: "august aug août aout augusti agosto awst 八月",
+    9: "september sept sep septembre septembris settembre septiembre setiembre medi septmber 九月",
+    10: "october oct oktober okt octobre octobris ottobre octubre hydref 十月", 11: "november nov novembre novembris noviembre tachwedd 十一月",
+    12: "december dec dezember dez décembre decembre decembris dicembre diciembre rhagfyr 十二月",
 }
+WEEKDAYS = "monday tuesday wednesday thursday friday saturday sunday".split()
 ROMAN = ["I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII"]
 _NAMES = {name: n for n, names in MONTHS.items() for name in names.split()}
 _ROMANS = {r.lower(): i + 1 for i, r in enumerate(ROMAN)}
@@ -145,6 +152,20 @@ def _either(groups: tuple[str, ...]) -> tuple[str, str] | None:
     return None if not days else ("DATE", days[0]) if len(days) == 1 else ("AMBIGUOUS", "/".join(days))
 
 
+def _dotted(groups: tuple[str, ...]) -> tuple[str, str] | None:
+    """Year, then month and day in unknown order; a month of two digits is one."""
+    y, a, b = groups
+    both = _iso(int(y), int(a), int(b))
+    return ("DATE", both) if both and len(a) == 2 else _either((a, b, y))
+
+
+def _weekday(groups: tuple[str, ...]) -> tuple[str, str] | None:
+    """A date whose day of the week is right."""
+    name, d, m, y = groups
+    day = _iso(int(y), _month(m), int(d))
+    return ("DATE", day) if day and WEEKDAYS[dt.date.fromisoformat(day).weekday()].startswith(name.lower()) else None
+
+
 def _monthly(y: str, m: str) -> tuple[str, str] | None:
     return ("RANGE", f"{y}-{_month(m):02d}") if 1 <= _month(m) <= 12 else None
 
@@ -177,10 +198,10 @@ def _short_years(groups: tuple[str, ...]) -> tuple[str, str] | None:
 _FORMS = [
     (rf"{_YEAR}[-/](\d{{1,2}})[-/](\d{{1,2}})(?:T.*)?", _one("ymd")),
     (rf"{_YEAR}[-/ ]({_MON})\.?[-/ ](\d{{1,2}})(?:T.*)?", _one("ymd")),
-    (rf"{_YEAR}[-.](\d{{1,2}})[-.](\d{{1,2}})", _one("ydm")),
-    (rf"{_YEAR}\.(\d{{1,2}})\.(\d{{1,2}})", lambda g: _either((g[1], g[2], g[0]))),
-    (rf"(0?[1-9]|1[0-2])[/.]{_YEAR}", lambda g: _monthly(g[1], g[0])),
-    (r"(\d{4})年(\d{1,2})月(\d{1,2})日", _one("ymd")),
+    (rf"{_YEAR}[-.,](1[3-9]|[23]\d)[-.,](\d{{1,2}})", _one("ydm")),
+    (rf"{_YEAR}[.,](\d{{1,2}})[.,](\d{{1,2}})", _dotted),
+    (rf"(0?[1-9]|1[0-2])[-/. ]{_YEAR}", lambda g: _monthly(g[1], g[0])),
+    (r"(\d{4})年(\d{1,2})月(\d{1,2})[日号]", _one("ymd")),
     (rf"{_YEAR}-(\d{{3}})/{_YEAR}-(\d{{3}})", lambda g: _span((_ordinal(*g[:2]) or (0, None))[1], (_ordinal(*g[2:]) or (0, None))[1])),
     (r"(\d{4})0000", lambda g: ("RANGE", g[0])),
     (_YEAR, lambda g: ("RANGE", g[0])),
@@ -189,10 +210,13 @@ _FORMS = [
     (rf"({_MON}|{_ROM})[.,]?[-/ ,.]+{_YEAR}", lambda g: _monthly(g[1], g[0])),
     (rf"{_YEAR}[-/ ,.]+({_MON})\.?", lambda g: _monthly(g[0], g[1])),
     (rf"(\d{{1,2}})[-/. ]+(\d{{1,2}})[-/. ]+{_YEAR}", _either),
-    (rf"(?:[a-z]+day,? )?(\d{{1,2}}){_ORD}[-/., ]*(?:of )?({_MON}|{_ROM})[-/., ]+{_YEAR}", _one("dmy")),
-    (rf"(?:[a-z]+day,? )?({_MON}|{_ROM})\.?[-/ ]*(\d{{1,2}}){_ORD}[-/, ]+{_YEAR}", _one("mdy")),
+    (rf"((?:mon|tues|wednes|thurs|fri|satur|sun)day|mon|tue|wed|thu|fri|sat|sun),? (\d{{1,2}})(?:st|nd|rd|th) ({_MON})\.?,? {_YEAR}", _weekday),
+    (rf"(\d{{1,2}}){_ORD}[-/., ]*(?:of )?({_MON}|{_ROM})[-/., ]+{_YEAR}", _one("dmy")),
+    (rf"({_MON}|{_ROM})\.?[-/ ]*(\d{{1,2}}){_ORD}[-/, ]+{_YEAR}", _one("mdy")),
     (rf"(?:xx|\?\?|--?)[-/. ](\d{{1,2}})[-/. ]{_YEAR}", lambda g: _monthly(g[1], g[0])),
     (rf"(?:xx|\?\?)[-/. ](?:xxx?|\?\??\??)[-/. ]{_YEAR}", lambda g: ("RANGE", g[0])),
+    (rf"(\d{{2}})[-. ]xxx[-. ]{_YEAR}", lambda g: _span(_iso(int(g[1]), 1, int(g[0])), _iso(int(g[1]), 12, int(g[0])))),
+    (rf"([12][07-9]) (\d{{1,2}})/(\d{{1,2}}|{_ROM}) (\d{{2}})", lambda g: _one("dmy")((g[1], g[2], g[0] + g[3]))),
     (rf"{_YEAR}-(\d{{3}})", lambda g: _ordinal(*g)),
     (rf"{_YEAR}-(0[1-9]|1[0-2])", lambda g: ("SUSPECT", f"{g[0]}-{g[1]}") if int(g[0][2:]) < int(g[1]) else ("RANGE", f"{g[0]}-{g[1]}")),
     (r"(\d{4})-(\d{2})", _short_years),
@@ -210,12 +234,12 @@ _FORMS = [
 
 def read_verbatim(text: str | None, suspect_before: int = 1000) -> tuple[str, str | None]:
     """(state, ISO date or interval) of a verbatim date: DATE, RANGE, AMBIGUOUS, SUSPECT, DISJUNCT_RANGE or NOT_RUN."""
-    v = re.sub(r"\[no date\]|[\[\]\"]", "", text or "", flags=re.IGNORECASE).strip().rstrip(".").strip()
+    v = re.sub(r"\[no (?:date|year)\]|[\[\]\"]", "", text or "", flags=re.IGNORECASE).strip().rstrip(".").strip()
     v = re.sub(r"\s+", " ", v)
     half = len(v) // 2
     if len(v) > 8 and len(v) % 2 == 1 and v[half] in " /" and v[:half] == v[half + 1 :]:
         v = v[:half]
-    if not re.search(r"\d{4}|\d{3}0", v):
+    if not re.search(r"\d{4}", v) and not re.fullmatch(rf"[12][07-9] \d{{1,2}}/(?:\d{{1,2}}|{_ROM}) \d{{2}}", v, flags=re.IGNORECASE):
         return "NOT_RUN", None
     for pattern, read in _FORMS:
         m = re.fullmatch(pattern, v, flags=re.IGNORECASE)
@@ -275,6 +299,25 @@ def best_label_date(text: Column, hint_year: Column) -> Column:
     return F.get(F.array_sort(ranked), 0)["iso"]
 
 
+def timed_seconds(c: Column) -> Column:
+    """Seconds between two date-times joined by a slash, 0 for a single one; null where a part has no time or the end is before the start.
+
+    The end may leave out the date. Offsets are read over.
+    """
+
+    def moment(bit: Column) -> Column:
+        plain = F.regexp_replace(F.regexp_replace(bit, r"(?<=T.{2,20})(?:Z|[+-]\d{2}(?::?\d{2})?)$", ""), ",", ".")
+        whole = F.when(plain.rlike(r"T\d{2}$"), F.concat(plain, F.lit(":00"))).otherwise(plain)
+        return F.when(whole.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:"), whole.try_cast("timestamp_ntz"))
+
+    parts = F.split(F.trim(c), "/")
+    a, b = F.get(parts, 0), F.element_at(parts, -1)
+    end = moment(F.when(b.startswith("T"), F.concat(F.substring(a, 1, 10), b)).otherwise(b))
+    seconds = F.timestamp_diff("SECOND", moment(a), end)
+    return F.when((F.size(parts) <= 2) & (seconds >= 0), seconds)
+
+
 def duration_seconds(c: Column) -> Column:
-    """Seconds of an ISO span of whole days; null if it isn't one."""
-    return let(iso_span(c), lambda span: (F.datediff(span["last"], span["first"]) + 1).cast("long") * 86_400)
+    """Seconds of an ISO span of whole days, or between its times; null if it is neither."""
+    days = let(iso_span(c), lambda span: (F.datediff(span["last"], span["first"]) + 1).cast("long") * 86_400)
+    return F.when(c.contains("T"), timed_seconds(c)).otherwise(days)

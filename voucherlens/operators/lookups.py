@@ -37,7 +37,7 @@ def deep_values(doc: Column, key: str) -> Column:
 def match_names(df: DataFrame, names: str, backbone: DataFrame, joined: str, rank: str | None = None, cleaned: bool = False) -> DataFrame:
     """`df` with the backbone's answer for a name column as the struct `joined` (null where it has none)."""
     answers = backbone if rank is None else backbone.where(F.col("params") == rank)
-    answers = answers.groupBy("query").agg(F.first(F.struct(*[c for c in backbone.columns if c not in ("query", "params")])).alias(joined))
+    answers = answers.groupBy("query").agg(F.min(F.struct(*[c for c in backbone.columns if c not in ("query", "params")])).alias(joined))
     key = F.coalesce(F.nullif(text.strip_authors(F.col(names)), F.lit("")), F.trim(names)) if cleaned else F.trim(names)
     return df.join(answers.withColumnRenamed("query", f"{joined}_query"), key == F.col(f"{joined}_query"), "left").drop(f"{joined}_query")
 

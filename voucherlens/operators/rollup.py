@@ -43,7 +43,7 @@ def failed_extraction(fields: list[str]) -> Column:
 
 def cost(df: DataFrame, prices: DataFrame) -> DataFrame:
     """`df` (model, tokens_in, tokens_out, is_batch, is_local) with cost_usd; batches cost half, local models nothing, unpriced ones null."""
-    rows = df.join(F.broadcast(prices.limit(100_000)), "model", "left")
+    rows = df.join(prices, "model", "left")
     usd = (F.col("tokens_in") * F.col("in_per_m") + F.col("tokens_out") * F.col("out_per_m")) / 1e6 * F.when(F.col("is_batch"), 0.5).otherwise(1.0)
     return rows.withColumn("cost_usd", F.when(F.col("is_local"), 0.0).otherwise(F.round(usd, 6))).drop("in_per_m", "out_per_m")
 

@@ -29,7 +29,9 @@ def write_failures(status: DataFrame, folder: str) -> bool:
 
 
 def page(title: str, summary: DataFrame, limit: int = 1000) -> str:
-    """A page of a summary frame's first rows; long tables belong in files."""
+    """A page of a summary frame's first `limit` rows, saying so where there are more; long tables belong in files."""
     head = "".join(f"<th>{escape(c)}</th>" for c in summary.columns)
-    body = "".join("<tr>" + "".join(f"<td>{escape('' if v is None else str(v))}</td>" for v in row) + "</tr>" for row in summary.limit(limit).collect())
+    rows = summary.limit(limit + 1).collect()
+    body = "".join("<tr>" + "".join(f"<td>{escape('' if v is None else str(v))}</td>" for v in row) + "</tr>" for row in rows[:limit])
+    body += f'<tr><td colspan="{len(summary.columns)}">The first {limit} rows only.</td></tr>' if len(rows) > limit else ""
     return f"<!doctype html><title>{escape(title)}</title><h1>{escape(title)}</h1><table><tr>{head}</tr>{body}</table>"
