@@ -189,12 +189,11 @@ def quality_by_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_SPECIMENS + """, g AS (SELECT specimen_id, tlon, tlat, CAST(floor((tlon + 180) / 72) AS INTEGER) AS i, CAST(least(floor((tlat + 90) / 36), 4) AS INTEGER) AS j FROM sp)
-SELECT specimen_id, CASE WHEN tlon > -180 + 72 * i AND tlon < -180 + 72 * i + 14 AND tlat > -90 + 36 * j AND tlat < -54 + 36 * j AND NOT (5 * j + i = 7 AND tlon > -180 + 72 * i + 4 AND tlon < -180 + 72 * i + 8 AND tlat > -90 + 36 * j + 10 AND tlat < -90 + 36 * j + 20) THEN 'N' || chr(65 + 5 * j + i) END AS place_code
-FROM g WHERE tlon - floor(tlon) > 0 AND tlat - floor(tlat) > 0""")
+SELECT specimen_id, CASE WHEN tlon >= -180 + 72 * i AND tlon < -180 + 72 * i + 14 AND tlat >= -90 + 36 * j AND tlat < -54 + 36 * j AND NOT (5 * j + i = 7 AND tlon >= -180 + 72 * i + 4 AND tlon < -180 + 72 * i + 8 AND tlat >= -90 + 36 * j + 10 AND tlat < -90 + 36 * j + 20) THEN 'N' || chr(65 + 5 * j + i) END AS place_code
+FROM g""")
 def country_of_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The country that holds each true point; whole degrees are left out, where a border's own points would tie."""
+    """The country that holds each true point; a point on a border belongs to the area east and north of it."""
     df = specimens(spark, sf_dir).select("specimen_id", F.col("truth_decimalLatitude").alias("lat"), F.col("truth_decimalLongitude").alias("lon"), F.lit(None).cast("string").alias("country_code"))
-    df = df.where("cast(lat as double) <> floor(cast(lat as double)) and cast(lon as double) <> floor(cast(lon as double))")
     return df.select("specimen_id").join(lookups.places(df, "specimen_id", borders(spark)).select("specimen_id", "place_code"), "specimen_id", "left")
 
 
