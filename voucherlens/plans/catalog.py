@@ -93,17 +93,13 @@ def catalog_number_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("specimen_id", scoring.score_field("text", F.col("truth_catalogNumber"), F.col("catalogNumber"))["score"].alias("score"))
 
 
-@query("""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+')[1:2] AS a, regexp_extract_all(lower(text), '[a-z]+')[3:4] AS b FROM documents WHERE lang = 'en'),
-x AS (SELECT doc_id, a[1] AS t0, a[2] AS t1, b[1] AS e0, b[2] AS e1 FROM w WHERE len(a) = 2 AND len(b) = 2),
-s AS (SELECT *, 1 - levenshtein(t0, e0) / greatest(length(t0), length(e0))::DOUBLE AS s00, 1 - levenshtein(t0, e1) / greatest(length(t0), length(e1))::DOUBLE AS s01, 1 - levenshtein(t1, e0) / greatest(length(t1), length(e0))::DOUBLE AS s10, 1 - levenshtein(t1, e1) / greatest(length(t1), length(e1))::DOUBLE AS s11 FROM x)
-SELECT doc_id, round(CASE WHEN (s00 >= s01 AND s00 >= s10 AND s00 >= s11) OR (NOT (s01 >= s00 AND s01 >= s10 AND s01 >= s11) AND NOT (s10 >= s00 AND s10 >= s01 AND s10 >= s11))
- THEN (s00 * (length(t0) + length(e0)) + s11 * (length(t1) + length(e1))) ELSE (s01 * (length(t0) + length(e1)) + s10 * (length(t1) + length(e0))) END / (length(t0) + length(t1) + length(e0) + length(e1)), 6) AS similarity FROM s""")
+@query()
 def token_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The greedy pairing on two-word lists, which SQL can spell out; tests hold longer lists against brute force."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
-    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)
-    rows = docs.select("doc_id", F.slice(words, 1, 2).alias("a"), F.slice(words, 3, 2).alias("b")).where("size(a) = 2 and size(b) = 2")
-    return rows.select("doc_id", F.round(text.token_pair_cer(F.col("a"), F.col("b")), 6).alias("similarity"))
+    """The greedy pairing of all words of each specimen's true and found collectors; tests hold it against brute force."""
+    df = specimens(spark, sf_dir)
+    words = lambda c: text.collector_words(text.clean_text(F.col(c)))
+    rows = df.select("specimen_id", words("truth_recordedBy").alias("a"), words("recordedBy").alias("b"))
+    return rows.select("specimen_id", F.round(text.token_pair_cer(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
 #: Tests whose outcome SQL states: status and result of each specimen.
