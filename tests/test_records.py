@@ -257,3 +257,45 @@ def test_durations_free_dates_and_schema(spark):
     many = spark.range(12).selectExpr("concat('m', id) model", "10L tokens_in", "10L tokens_out", "false is_batch", "false is_local")
     assert rollup.cost(many, many.selectExpr("model", "1.0D in_per_m", "1.0D out_per_m")).where("cost_usd is null").count() == 0
     assert "first 3 rows only" in sinks.page("t", many, 3) and "rows only" not in sinks.page("t", many, 12)
+
+
+def test_places_against_brute_force(spark):
+    import math
+
+    rng = random.Random(5)
+    star = [(10 + (4 if i % 2 else 9) * math.cos(i * math.pi / 8) + 0.013 * i, 3 + (3 if i % 2 else 7) * math.sin(i * math.pi / 8)) for i in range(16)]
+    hole = [(9.5, 2.5), (11.0, 2.5), (10.0, 4.25), (9.5, 2.5)]
+    rings = {"AA": [star + star[:1], hole], "BB": [[(-5.0, -5.0), (20.0, -5.0), (20.0, -4.0), (-5.0, -4.0), (-5.0, -5.0)]], "CC": [hole]}
+    rows = [(i, code, [code], [[(float(x), float(y)) for x, y in ring] for ring in own]) for i, (code, own) in enumerate(rings.items())]
+    borders = spark.createDataFrame(rows, "feature_pos int, iso_a2 string, names array<string>, rings array<array<struct<lon:double,lat:double>>>")
+
+    def inside(x, y, own):
+        hits = 0
+        for ring in own:
+            for (x1, y1), (x2, y2) in zip(ring, ring[1:]):
+                hits += (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1
+        return hits % 2 == 1
+
+    def near(x, y, own, d):
+        for ring in own:
+            for (x1, y1), (x2, y2) in zip(ring, ring[1:]):
+                t = max(0.0, min(1.0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2)))
+                if math.hypot(x1 + t * (x2 - x1) - x, y1 + t * (y2 - y1) - y) <= d:
+                    return True
+        return inside(x, y, own)
+
+    points = [(i, f"{rng.uniform(-6, 11):.3f}", f"{rng.uniform(-7, 21):.3f}", rng.choice(["AA", "BB", "CC", None])) for i in range(1500)]
+    df = spark.createDataFrame([*points, (1500, None, "3", "AA"), (1501, "", "", None)], "id long, lat string, lon string, country_code string")
+    found = {r["id"]: r for r in lookups.places(df, "id", borders, km=30.0).collect()}
+    for i, lat, lon, code in points:
+        x, y, row = float(lon), float(lat), found.get(i)
+        assert (row is not None and row["place_near"]) == (code is not None and near(x, y, rings[code], 30 / 111)), (i, lat, lon, code)
+        holders = [c for c, own in rings.items() if inside(x, y, own)]
+        assert (row and row["place_code"]) == (holders[0] if len(holders) == 1 else None), (i, lat, lon)
+        forms = [(y, x), *([(x, y)] if abs(x) <= 90 else []), (-y, x), (y, -x), (-y, -x)]
+        better = next(((a, b) for a, b in forms[1:] if code and near(b, a, rings[code], 30 / 111)), None)
+        said = row and row["place_better"]
+        assert (said is None) == (better is None), (i, lat, lon, code)
+        if said:
+            assert [float(t.split("=")[1]) for t in said.split("; ")] == pytest.approx(better)
+    assert 1500 not in found and 1501 not in found

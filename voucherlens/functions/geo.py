@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from voucherlens.functions.text import COORD_NULLS
+from voucherlens.functions.text import COORD_NULLS, let
 
 _NUMBER = r"^[+-]?(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+)?$"
 EARTH_KM = 6371.0
@@ -28,43 +28,39 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     """Great-circle distance, to three decimals."""
     dlat, dlon = F.radians(lat2 - lat1), F.radians(lon2 - lon1)
     a = F.pow(F.sin(dlat / 2), F.lit(2.0)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlon / 2), F.lit(2.0))
-    return F.round(2 * EARTH_KM * F.atan2(F.sqrt(a), F.sqrt(F.greatest(F.lit(0.0), 1 - a))), 3)
+    return let(a, lambda x: F.round(2 * EARTH_KM * F.atan2(F.sqrt(x), F.sqrt(F.greatest(F.lit(0.0), 1 - x))), 3))
 
 
 def coordinate_score(km: Column) -> Column:
     return F.when(km.isNull(), None).when(km < 1, 1.0).when(km < 10, 0.9).when(km < 50, 0.3).when(km < 100, 0.1).otherwise(0.0)
 
 
-def in_ring(lon: Column, lat: Column, ring: Column) -> Column:
-    """Ray casting: whether a point lies inside a closed ring of struct(lon, lat)."""
-    crosses = F.transform(
-        ring,
-        lambda p, i: F.when(
-            (i > 0) & ((p["lat"] > lat) != (F.get(ring, i - 1)["lat"] > lat))
-            & (lon < (F.get(ring, i - 1)["lon"] - p["lon"]) * (lat - p["lat"]) / F.nullif(F.get(ring, i - 1)["lat"] - p["lat"], F.lit(0.0)) + p["lon"]),
-            1,
-        ).otherwise(0),
-    )
-    return F.aggregate(crosses, F.lit(0), lambda a, x: a + x) % 2 == 1
+def inside_cell(lon: Column, lat: Column, base: Column, rays: Column) -> Column:
+    """Ray casting to the east: `base` counts edges that every ray of the cell crosses, `rays` are those some may cross.
 
+    A point on a border belongs to the area east and north of it; holes are edges too.
+    """
 
-def in_polygon(lon: Column, lat: Column, rings: Column) -> Column:
-    """Inside an odd number of rings: holes are rings too."""
-    return F.aggregate(rings, F.lit(0), lambda a, ring: a + in_ring(lon, lat, ring).cast("int")) % 2 == 1
+    def crossed(e: Column) -> Column:
+        # the edge's upper end comes first, so that both areas of a border work out the same crossing
+        return ((e["y1"] > lat) != (e["y2"] > lat)) & (lon < (e["x2"] - e["x1"]) * (lat - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"])
 
+    return (base + F.size(F.filter(rays, crossed))) % 2 == 1
 
-def near_polygon(lon: Column, lat: Column, rings: Column, degrees: float) -> Column:
-    """Inside, or no farther than `degrees` from an edge."""
 
-    def far(p: Column, q: Column) -> Column:
-        dx, dy = q["lon"] - p["lon"], q["lat"] - p["lat"]
-        t = F.coalesce(((lon - p["lon"]) * dx + (lat - p["lat"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
-        t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), t))
-        x, y = p["lon"] + t * dx - lon, p["lat"] + t * dy - lat
-        return x * x + y * y
+def near_edge(lon: Column, lat: Column, edges: Column, degrees: float) -> Column:
+    """Whether a point is no farther than `degrees` from one of some edges, struct(x1, y1, x2, y2)."""
 
-    edge = F.exists(rings, lambda ring: F.exists(F.transform(ring, lambda q, i: F.when(i > 0, far(F.get(ring, i - 1), q) <= degrees * degrees).otherwise(False)), lambda x: x))
-    return in_polygon(lon, lat, rings) | edge
+    def foot(e: Column) -> Column:
+        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+        t = F.coalesce(((lon - e["x1"]) * dx + (lat - e["y1"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
+        return F.least(F.lit(1.0), F.greatest(F.lit(0.0), t))
+
+    def near(e: Column) -> Column:
+        off = let(foot(e), lambda t: F.struct((e["x1"] + t * (e["x2"] - e["x1"]) - lon).alias("x"), (e["y1"] + t * (e["y2"] - e["y1"]) - lat).alias("y")))
+        return let(off, lambda o: o["x"] * o["x"] + o["y"] * o["y"] <= degrees * degrees)
+
+    return F.exists(edges, near)
 
 
 def flipped(c: Column) -> Column:

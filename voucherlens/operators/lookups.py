@@ -102,20 +102,39 @@ def country_codes(df: DataFrame, country: str, borders: DataFrame, out: str = "c
     return df.join(names, F.lower(F.trim(country)) == F.col("country_name"), "left").drop("country_name")
 
 
-def cells(west: Column, south: Column, east: Column, north: Column) -> Column:
-    """One-degree cells a box touches, as one number each."""
-    return F.flatten(F.transform(F.sequence(F.floor(west), F.floor(east)), lambda x: F.transform(F.sequence(F.floor(south), F.floor(north)), lambda y: (x + 180) * 1000 + y + 90)))
+def _cell(x: Column, y: Column) -> Column:
+    """The one-degree cell of whole degrees, as one number."""
+    return ((x + 180) * 1000 + y + 90).cast("long")
 
 
 def gridded(borders: DataFrame, buffer: float = 0.0) -> DataFrame:
-    """Borders (iso_a2, rings) by the cells of their box, for an equi-join with points."""
-    flat = F.flatten("rings")
-    box = [f(F.transform(flat, _coordinate(c))) for c, f in (("lon", F.array_min), ("lat", F.array_min), ("lon", F.array_max), ("lat", F.array_max))]
-    return borders.select("iso_a2", "rings", F.explode(cells(box[0] - buffer, box[1] - buffer, box[2] + buffer, box[3] + buffer)).alias("cell"))
+    """(feature_pos, iso_a2, cell, base, rays, edges): borders cut to one-degree cells, for an equi-join with points.
 
-
-def _coordinate(name: str):
-    return lambda p: p[name]
+    `rays`: edges that a ray from the cell to the east may cross; `base`: how many it crosses wherever it starts there;
+    `edges`: those within `buffer` degrees of the cell. A cell inside an area has no edges at all, so a point meets the
+    few edges of its cell instead of a whole border.
+    """
+    point = F.col("ring")
+    pairs = F.transform(F.slice(point, F.lit(2), F.greatest(F.size(point) - 1, F.lit(0))), lambda q, i: F.struct(F.get(point, i).alias("p"), q.alias("q")))
+    lines = borders.select("feature_pos", "iso_a2", F.explode("rings").alias("ring")).select("feature_pos", "iso_a2", F.explode(pairs).alias("e"))
+    # the upper end first, so that neighbours state their border alike
+    up = F.struct(F.col("e.p.lat"), F.col("e.p.lon")) >= F.struct(F.col("e.q.lat"), F.col("e.q.lon"))
+    ends = [F.when(up, F.col(f"e.{a}.{c}")).otherwise(F.col(f"e.{b}.{c}")).alias(n) for a, b, c, n in (("p", "q", "lon", "x1"), ("p", "q", "lat", "y1"), ("q", "p", "lon", "x2"), ("q", "p", "lat", "y2"))]
+    lines = lines.select("feature_pos", "iso_a2", *ends)
+    west = lines.groupBy("feature_pos").agg(F.floor(F.min(F.least("x1", "x2")) - buffer).alias("west"))
+    lines = lines.join(west, "feature_pos").withColumn("left", F.least("x1", "x2")).withColumn("right", F.greatest("x1", "x2"))
+    # a row for each cell from the area's west end, buffer included, to the edge's east end, over the edge's bands of latitude
+    spread = F.explode(F.sequence(F.floor(F.col("y2") - buffer), F.floor(F.col("y1") + buffer)))
+    rows = lines.withColumn("cy", spread).withColumn("cx", F.explode(F.sequence(F.col("west"), F.floor(F.col("right") + buffer))))
+    cx, cy = F.col("cx"), F.col("cy")
+    ray = (F.col("y1") > cy) & (F.col("y2") < cy + 1) & (F.col("right") >= cx) & (F.col("y1") != F.col("y2"))
+    always = ray & (F.col("y1") >= cy + 1) & (F.col("y2") <= cy) & (F.col("left") >= cx + 1)
+    close = (F.col("right") + buffer >= cx) & (F.col("left") - buffer <= cx + 1) & (F.col("y1") + buffer >= cy) & (F.col("y2") - buffer <= cy + 1)
+    edge = F.struct("x1", "y1", "x2", "y2")
+    cut = rows.groupBy("feature_pos", "iso_a2", _cell(cx, cy).alias("cell")).agg(
+        F.count_if(always).alias("base"), F.collect_list(F.when(ray & ~always, edge)).alias("rays"), F.collect_list(F.when(close, edge)).alias("edges"),
+    )
+    return cut.where((F.col("base") % 2 == 1) | (F.size("rays") > 0) | (F.size("edges") > 0))
 
 
 def places(df: DataFrame, id_col: str, borders: DataFrame, km: float = 3.0) -> DataFrame:
@@ -130,12 +149,15 @@ def places(df: DataFrame, id_col: str, borders: DataFrame, km: float = 3.0) -> D
         F.struct(F.lit(2).alias("pos"), geo.flipped(lat).alias("la"), lon.alias("lo")), F.struct(F.lit(3).alias("pos"), lat.alias("la"), geo.flipped(lon).alias("lo")),
         F.struct(F.lit(4).alias("pos"), geo.flipped(lat).alias("la"), geo.flipped(lon).alias("lo")),
     )
-    points = df.where(geo.number(lat).isNotNull() & geo.number(lon).isNotNull()).select(id_col, "country_code", F.explode(F.filter(forms, lambda x: x.isNotNull())).alias("f"))
+    points = df.where(geo.number(lat).isNotNull() & geo.number(lon).isNotNull()).select(id_col, "country_code", F.explode(F.filter(forms, lambda x: x.isNotNull() & ((x["pos"] == 0) | F.col("country_code").isNotNull()))).alias("f"))
     points = points.select(id_col, "country_code", "f.*", geo.number(F.col("f.la")).alias("y"), geo.number(F.col("f.lo")).alias("x"))
-    points = points.where(F.abs("y") <= 90).where(F.abs("x") <= 360).withColumn("cell", (F.floor("x") + 180) * 1000 + F.floor("y") + 90)
-    near = points.join(gridded(borders, km / 111), "cell").where(geo.near_polygon(F.col("x"), F.col("y"), F.col("rings"), km / 111))
-    inside = F.when((F.col("pos") == 0) & (F.col("iso_a2") != "-99") & geo.in_polygon(F.col("x"), F.col("y"), F.col("rings")), F.col("iso_a2"))
+    points = points.where(F.abs("y") <= 90).where(F.abs("x") <= 360).withColumn("cell", _cell(F.floor("x"), F.floor("y")))
     own = F.col("iso_a2") == F.col("country_code")
+    # other forms than the first are asked of the country named only
+    met = points.join(gridded(borders, km / 111), "cell").where((F.col("pos") == 0) | own)
+    met = met.withColumn("within", geo.inside_cell(F.col("x"), F.col("y"), F.col("base"), F.col("rays")))
+    near = met.where(F.col("within") | geo.near_edge(F.col("x"), F.col("y"), F.col("edges"), km / 111))
+    inside = F.when((F.col("pos") == 0) & (F.col("iso_a2") != "-99") & F.col("within"), F.col("iso_a2"))
     found = near.groupBy(id_col).agg(
         F.coalesce(F.bool_or(own & (F.col("pos") == 0)), F.lit(False)).alias("place_near"),
         F.min_by(F.concat(F.lit("dwc:decimalLatitude="), F.col("la"), F.lit("; dwc:decimalLongitude="), F.col("lo")), F.when(own & (F.col("pos") > 0), F.col("pos"))).alias("better"),

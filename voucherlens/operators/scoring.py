@@ -104,12 +104,17 @@ def settle(scored: Column, kind: str, truth: Column, found: Column, label: Colum
 
 def score_coordinates(lat: Column, lon: Column, found_lat: Column, found_lon: Column, inferred: Column | None = None) -> Column:
     """The ninth field: coord-eval if both sides have real coordinates; only that counts."""
-    t, e = geo.real_coordinate(lat, lon), geo.real_coordinate(found_lat, found_lon)
-    km = geo.haversine_km(geo.number(lat), geo.number(lon), geo.number(found_lat), geo.number(found_lon))
-    out = F.when(t & e, _say(geo.coordinate_score(km), "coord-eval", F.format_string("%.3f km", km))).when(t, _say(None, "inferred-gbif"))
-    if inferred is not None:
-        out = out.when(inferred.isNotNull() & e, _say(None, "geocoded-inferred"))
-    return out.when(e, _say(None, "ai-extracted-unref")).otherwise(_say(None, "N/A"))
+    figures = F.struct(*[geo.number(c).alias(n) for c, n in ((lat, "a"), (lon, "b"), (found_lat, "c"), (found_lon, "d"))])
+    read = F.struct(geo.real_coordinate(lat, lon).alias("t"), geo.real_coordinate(found_lat, found_lon).alias("e"), text.let(figures, lambda p: geo.haversine_km(p["a"], p["b"], p["c"], p["d"])).alias("km"))
+
+    def told(x: Column) -> Column:
+        out = F.when(x["t"] & x["e"], _say(geo.coordinate_score(x["km"]), "coord-eval", F.format_string("%.3f km", x["km"]))).when(x["t"], _say(None, "inferred-gbif"))
+        if inferred is not None:
+            out = out.when(inferred.isNotNull() & x["e"], _say(None, "geocoded-inferred"))
+        return out.when(x["e"], _say(None, "ai-extracted-unref")).otherwise(_say(None, "N/A"))
+
+    # the distance stands in every branch of the score: it is worked out once a row, not once a branch
+    return text.let(read, told)
 
 
 def exclude_parts(df: DataFrame) -> DataFrame:
