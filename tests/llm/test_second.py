@@ -3,6 +3,7 @@ import itertools
 import random
 import re
 import struct
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -189,26 +190,55 @@ def test_toxicity_learns_quotes_and_misspellings(spark):
     assert none == [] and toxicity.score(docs.limit(3), none, w).count() == 3
 
 
-def _model(tables, letters):
-    rows = [t.toPandas() for t in tables]
-    return langid.KneserNey([(f["key"].to_numpy(np.int64).view(np.uint64), f["mass"].to_numpy(float), f["context"].to_numpy(np.int64).view(np.uint64), f["rest"].to_numpy(float)) for f in rows], letters)
-
-
-def test_kneser_ney_is_a_distribution(spark):
-    text = np.array([ord(c) for c in "   the cat sat on the mat that the rat sat at "], dtype=np.uint16)
-    keys, n = np.unique(langid.grams(text), return_counts=True)
-    letters = sorted(set(text.tolist()))
-    counts = spark.createDataFrame([("x", k, m) for k, m in zip(keys.view(np.int64).tolist(), n.tolist(), strict=True)], "lang string, gram long, n long")
-    tables = langid.orders(counts)
-    model = _model(tables, len(letters))
-    for context in ("the", " ca", "zzz", "at "):
-        g = np.array([sum(ord(c) << s for c, s in zip(context, (48, 32, 16), strict=True)) + x for x in letters], dtype=np.uint64)
-        assert (2.0 ** model.log2(g)).sum() == pytest.approx(1.0)
-    # an entry that isn't sent out leaves the others' values as they are
-    few = [langid.commonest(t, 9) for t in tables]
-    assert [x.count() <= 9 for x in few] == [True] * 4 and 0 < few[0].count() < tables[0].count()
-    whole = {r.key: (r.mass, r.rest) for r in tables[0].collect()}
-    assert all(whole[r.key] == (r.mass, r.rest) and r.n > 1 for r in few[0].collect())
+def brute_kneser_ney(grams, floor):
+    """P(four-gram's last letter | the rest) as a function, from a dict of four-grams and their counts."""
+    levels = {4: grams}
+    for order in (3, 2, 1):
+        levels[order] = {}
+        for g in levels[order + 1]:
+            levels[order][g[1:]] = levels[order].get(g[1:], 0) + 1
+
+    def p(g):
+        if not g:
+            return floor
+        own = levels[len(g)]
+        one, two = list(own.values()).count(1), list(own.values()).count(2)
+        d = one / (one + 2 * two) if one and two else 0.5
+        near = {k: n for k, n in own.items() if k[:-1] == g[:-1]}
+        if not near:
+            return p(g[1:])
+        return max(near.get(g, 0) - d, 0) / sum(near.values()) + d * len(near) / sum(near.values()) * p(g[1:])
+
+    return p
+
+
+def test_kneser_ney_against_brute_force(spark):
+    texts = {"x": "   the cat sat on the mat that the rat sat at ", "y": "   der kater sass auf der matte und der rat tat es "}
+    grams = {lang: dict(Counter(text[i : i + 4] for i in range(len(text) - 3))) for lang, text in texts.items()}
+    packed = lambda g: sum(ord(c) << s for c, s in zip(g, (48, 32, 16, 0), strict=True))
+    counts = spark.createDataFrame([(lang, packed(g), n) for lang, own in grams.items() for g, n in own.items()], "lang string, gram long, n long")
+    letters = sorted(set("".join(texts.values())))
+    model = langid.Model(["x", "y"], langid.orders(counts), 1 / len(letters), 100)
+    wanted = [context + x for context in ("the", " ca", "zzz", "at ", " de", "xat", "zra") for x in letters]
+    got = {r.key: r.bits for r in langid.probabilities(spark.createDataFrame([(packed(g), 1) for g in wanted], "key long, n long"), model).collect()}
+    for j, lang in enumerate(model.langs):
+        p = brute_kneser_ney(grams[lang], 1 / len(letters))
+        assert all(2.0 ** -got[packed(g)][j] == pytest.approx(p(g)) for g in wanted)
+    own = brute_kneser_ney(grams["x"], 1 / len(set(texts["x"])))
+    assert sum(own("the"[:3] + x) for x in set(texts["x"])) == pytest.approx(1.0)
+
+
+def test_rare_grams_count_whole(spark):
+    table = spark.createDataFrame([(k, n) for k, n in enumerate([1, 1, 1, 2, 5, 5000, 6000, 1 << 20])], "key long, n long")
+    assert [table.where(F.col("n") >= langid.least_count(table, keep)).count() for keep in (0, 1, 2, 3, 4, 5, 7, 8)] == [0, 1, 1, 3, 4, 5, 5, 8]
+    r = random.Random(4)
+    rows = [(i, "".join(r.choice("abcdef " if i % 2 else "efghij ") for _ in range(60)), "aa" if i % 2 else "bb", "k", "s") for i in range(120)]
+    rows += [(500, None, None, "k", "s"), (3, rows[3][1], "aa", "k", "s"), (501, "zz qq", None, "k", "s")]
+    docs = spark.createDataFrame(rows, DOCS)
+    whole, few = (sorted(langid.identify(docs, langid.learn(docs, values=v)).collect(), key=lambda x: x.doc_id) for v in (4_000_000, 100))
+    assert len(whole) == len(few) == len(rows)
+    for a, b in zip(whole, few, strict=True):
+        assert a.lang_pred == b.lang_pred and a.score == pytest.approx(b.score) and a.bits_per_letter == (None if a.bits_per_letter is None else pytest.approx(b.bits_per_letter))
 
 
 def test_language_id(spark):

@@ -2,11 +2,11 @@
 
 Method: one interpolated Kneser-Ney model of order four per language. Four-gram counts over all training documents are
 gathered as per-partition partial sums; continuation counts, discounts, context totals and probabilities are worked out in
-Spark over all of them. A model is a set of sorted 64-bit key arrays with their values. Only `keep` entries of an order and
-language, the commonest, are sent to the executors: one left out falls back on the next lower order, whose weight and
-values stay those of the whole corpus. A document's language is that of the lowest length-normalised cross-entropy. A small
-hashed sample that isn't counted sets how steeply entropy differences become a probability, and the entropy beyond which a
-language's verdict is rejected.
+Spark over all of them. The four-grams of the documents to judge, each once, get their bits under every language by joins
+with these tables. Sorted key arrays with a row of bits for each key hold the commonest ones on the executors, as many as
+`values` numbers allow; a document's rarer ones are joined by key, so no gram of any model is left out at any size. A
+document's language is that of the lowest length-normalised cross-entropy. A small hashed sample that isn't counted sets how
+steeply entropy differences become a probability, and the entropy beyond which a language's verdict is rejected.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from voucherlens.llm.common import discard, held_out, written
 
 UNKNOWN = "und"
 _BLOCK = 1 << 20  # characters worked on at once
-_M48, _M32, _M16 = np.uint64(2**48 - 1), np.uint64(2**32 - 1), np.uint64(2**16 - 1)  # lower orders
 _S16 = np.uint64(16)
 
 
@@ -117,95 +116,78 @@ def orders(counts: DataFrame) -> list[DataFrame]:
     return out
 
 
-def commonest(table: DataFrame, keep: int) -> DataFrame:
-    """The rows of a table of orders() that are sent out: of each language those above the least count that leaves `keep` at most."""
-    step = F.floor(F.log2("n")).cast("int")
-    grade = F.when(F.col("n") < 1024, F.col("n")).otherwise(1024 + step)  # counts up to 1023, then powers of two
-    sizes = table.groupBy("lang", grade.alias("grade")).agg(F.count(F.lit(1)).alias("many")).collect()  # about 1,000 rows a language at most
-    least = {}
-    for lang in {r.lang for r in sizes}:
-        total, least[lang] = 0, 0
-        for r in sorted((r for r in sizes if r.lang == lang), key=lambda r: -r.grade):
-            total += r.many
-            if total > keep:
-                least[lang] = r.grade + 1
-                break
-    cut = [lang for lang in least if least[lang] > 0]
-    if not cut:
-        return table
-    limit = F.coalesce(F.try_element_at(F.create_map(*[x for lang in cut for x in (F.lit(lang), F.lit(least[lang]))]), F.col("lang")), F.lit(0))
-    return table.where(grade >= limit)
-
-
-class KneserNey:
-    """One language's model, from (keys, masses, contexts, rests) of orders 4 to 1; `letters`: how many codes there may be."""
-
-    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], letters: int):
-        self.orders = []
-        for keys, mass, contexts, rest in tables:
-            order, (kinds, first) = np.argsort(keys), np.unique(contexts, return_index=True)
-            self.orders.append((keys[order], mass[order], kinds, rest[first]))
-        self.floor = 1.0 / letters
-
-    def log2(self, g: np.ndarray) -> np.ndarray:
-        """log2 P(last letter | the three before) of packed four-grams."""
-        p = np.full(len(g), self.floor)
-        for (keys, mass, kinds, rest), mask in zip(self.orders[::-1], (_M16, _M32, _M48, None), strict=True):
-            own = g if mask is None else g & mask
-            p = _find(keys, mass, own, 0.0) + _find(kinds, rest, own >> _S16, 1.0) * p
-        return np.log2(p)
-
-
-def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
-    if not len(keys):
-        return np.full(len(wanted), default)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], default)
+def probabilities(wanted: DataFrame, model: Model) -> DataFrame:
+    """`wanted` (key, n) with `bits`: minus log2 P(last letter | the three before) of packed four-grams under each language."""
+    langs = F.array(*map(F.lit, model.langs))
+    below = None
+    for order, table in enumerate(model.orders[::-1], 1):
+        keys = wanted.select(F.col("key").bitwiseAND(F.lit((1 << 16 * order) - 1)).alias("key")).distinct() if order < 4 else wanted
+        mass = table.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("lang", "mass"))).alias("mass"))
+        rest = table.groupBy("context").agg(F.map_from_entries(F.collect_set(F.struct("lang", "rest"))).alias("rest"))
+        keys = keys.withColumn("context", F.shiftrightunsigned("key", 16)).withColumn("low", F.col("key").bitwiseAND(F.lit((1 << 16 * (order - 1)) - 1)))
+        keys = keys.withColumn("below", F.transform(langs, lambda _: F.lit(model.floor))) if below is None else keys.join(below, "low")
+        keys = keys.join(mass, "key", "left").join(rest, "context", "left")
+        p = F.transform(
+            F.arrays_zip(langs.alias("lang"), F.col("below")),
+            lambda x: F.coalesce(F.try_element_at("mass", x["lang"]), F.lit(0.0)) + F.coalesce(F.try_element_at("rest", x["lang"]), F.lit(1.0)) * x["below"],
+        )
+        below = keys.select(F.col("key").alias("low"), p.alias("below")) if order < 4 else keys.select("key", "n", F.transform(p, lambda x: -F.log2(x)).alias("bits"))
+    return below
+
+
+def least_count(table: DataFrame, keep: int) -> int:
+    """The least `n` that `keep` rows of `table` at most reach."""
+    grade = F.when(F.col("n") < 1024, F.col("n")).otherwise(1024 + F.floor(F.log2("n")).cast("int"))  # counts up to 1023, then powers of two
+    sizes = table.groupBy(grade.alias("grade")).agg(F.count(F.lit(1)).alias("many")).orderBy(F.desc("grade")).collect()  # about 1,100 rows at most
+    total, least = 0, 1 << 62
+    for r in sizes:
+        total += r.many
+        if total > keep:
+            break
+        least = r.grade if r.grade < 1024 else 1 << (r.grade - 1024)
+    return least
 
 
 class Scorer:
-    """Cross-entropies of texts under all models; four-grams once looked up are kept."""
-
-    def __init__(self, models: list[KneserNey], memo: int = 1_000_000):
-        self.models, self.memo, self.letters = models, memo, Letters()
-        self.keys, self.values = np.zeros(0, np.uint64), np.zeros((0, len(models)))
-
-    def _logs(self, kinds: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys, kinds), max(0, len(self.keys) - 1))
-        known = self.keys[at] == kinds if len(self.keys) else np.zeros(len(kinds), bool)
-        if not known.all():
-            new = kinds[~known]
-            values = np.column_stack([m.log2(new) for m in self.models])
-            if len(self.keys) + len(new) > self.memo:  # start again with this block's alone
-                self.keys, self.values = np.zeros(0, np.uint64), np.zeros((0, len(self.models)))
-                return np.column_stack([m.log2(kinds) for m in self.models])
-            keys = np.concatenate([self.keys, new])
-            order = np.argsort(keys)
-            self.keys, self.values = keys[order], np.concatenate([self.values, values])[order]
-            at = np.searchsorted(self.keys, kinds)
-        return self.values[at]
+    """Bits of texts under all models from sorted keys and their rows of bits; grams that aren't among them are counted."""
+
+    def __init__(self, keys: np.ndarray, bits: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.bits, self.letters = keys[order], bits[order], Letters()
 
-    def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(four-grams in each text, bits per letter under each model)."""
-        n, bits = np.zeros(len(texts)), np.zeros((len(texts), len(self.models)))
+    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
+        """(four-grams in each text, bits of the known ones under each model, (key, n) of the others)."""
+        n, bits, rare = np.zeros(len(texts), np.int64), np.zeros((len(texts), self.bits.shape[1])), []
         for g, rows in blocks(texts, self.letters):
             kinds, inverse = np.unique(g, return_inverse=True)
-            logs = self._logs(kinds)
+            at = np.searchsorted(self.keys, kinds)
+            at[at == len(self.keys)] = 0
+            known = self.keys[at] == kinds if len(self.keys) else np.zeros(len(kinds), bool)
             n += np.bincount(rows, minlength=len(texts))
-            for j in range(len(self.models)):
-                bits[:, j] -= np.bincount(rows, weights=logs[inverse, j], minlength=len(texts))
-        return n, bits / np.maximum(n, 1)[:, None]
+            if known.any():
+                values, own = np.where(known[:, None], self.bits[at], 0.0), inverse
+                for j in range(bits.shape[1]):
+                    bits[:, j] += np.bincount(rows, weights=values[own, j], minlength=len(texts))
+            other = ~known[inverse]
+            rare.append((rows[other], g[other]))
+        rows, g = (np.concatenate(x) for x in zip(*rare, strict=True)) if rare else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        order = np.lexsort((g, rows))
+        rows, g = rows[order], g[order]
+        first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (g[1:] != g[:-1])]) if len(g) else np.zeros(0, np.int64)
+        many = np.diff(np.r_[first, len(g)])
+        pairs = pa.StructArray.from_arrays([pa.array(g[first].view(np.int64)), pa.array(many.astype(np.int64))], names=["key", "n"])
+        return n, bits, pa.ListArray.from_arrays(pa.array(np.searchsorted(rows[first], np.arange(len(texts) + 1)).astype(np.int32)), pairs)
 
 
 class Model:
-    """Languages, their models, the steepness of the scores and the greatest entropy accepted for each language."""
+    """Languages; tables of orders 4 to 1; the floor of a letter; how many numbers executors may hold; the steepness of scores and the greatest entropy accepted for each language."""
 
-    def __init__(self, langs: list[str], models: list[KneserNey], steep: float = 8.0, most: np.ndarray | None = None):
-        self.langs, self.models, self.steep = langs, models, steep
-        self.most = np.full(len(langs), np.inf) if most is None else most
+    def __init__(self, langs: list[str], orders: list[DataFrame], floor: float, values: int, steep: float = 8.0):
+        self.langs, self.orders, self.floor, self.values, self.steep = langs, orders, floor, values, steep
+        self.most = np.full(len(langs), np.inf)
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: int = 500_000, sample: int = 4000) -> Model:
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", values: int = 4_000_000, sample: int = 4000) -> Model:
     """Models of all languages of the documents that aren't held out, counted over all of them but some `sample` (a tenth at most) that calibrate."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"))
     share = min(0.1, sample / max(1, rows.count()))
@@ -213,14 +195,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     counts = written(gram_counts(rows.where(~few).select("lang", "text")), "grams")
     langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
     tables = orders(counts)
-    letters = 1 + tables[-1].select("key").distinct().count()
-    frames = [commonest(t, keep).select("lang", "key", "mass", "context", "rest").toPandas() for t in tables]  # `keep` rows a language at most
-    discard(counts, *tables)
-    models = []
-    for lang in langs:
-        own = [f[f["lang"] == lang] for f in frames]
-        models.append(KneserNey([(f["key"].to_numpy(np.int64).view(np.uint64), f["mass"].to_numpy(float), f["context"].to_numpy(np.int64).view(np.uint64), f["rest"].to_numpy(float)) for f in own], letters))
-    model = Model(langs, models)
+    model = Model(langs, tables, 1.0 / (1 + tables[-1].select("key").distinct().count()), values)
+    discard(counts)
     if langs:
         seen = _entropies(rows.where(few).select("doc_id", F.col("lang"), F.lit(False).alias("held_out"), "text"), model).where("letters > 0").select("lang", "bits").toPandas()  # about `sample` rows
         seen = seen[seen["lang"].isin(langs)]
@@ -244,18 +220,31 @@ def _calibrate(model: Model, langs: list[str], bits: np.ndarray) -> None:
 
 
 def _entropies(rows: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang, held_out, letters, bits) of (doc_id, lang, held_out, text) rows."""
+    """(doc_id, lang, held_out, letters, bits per letter) of (doc_id, lang, held_out, text) rows."""
+    wanted = written(gram_counts(rows.select(F.lit("").alias("lang"), "text")).select(F.col("gram").alias("key"), "n"), "wanted")
+    table = written(probabilities(wanted, model), "bits")
+    discard(wanted)
+    size = len(model.langs)
+    least = least_count(table, model.values // size)
+    head = table.where(F.col("n") >= least).select("key", "bits").toArrow()  # `values` numbers at most
+    keys = head.column("key").to_numpy().view(np.uint64)
+    known = head.column("bits").combine_chunks().flatten().to_numpy().reshape(len(keys), size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.models)
+        scorer = Scorer(keys, known)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                n, bits = scorer.entropies(part.column(3).to_pylist())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * len(model.langs)), pa.array(bits.ravel()))
-                yield pa.record_batch([part.column(0).cast(pa.int64()), part.column(1), part.column(2), pa.array(n.astype(np.int64)), lists], names=["doc_id", "lang", "held_out", "letters", "bits"])
-
-    return rows.mapInArrow(run, "doc_id long, lang string, held_out boolean, letters long, bits array<double>")
+                n, bits, rare = scorer.score(part.column(3).to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * size), pa.array(bits.ravel()))
+                yield pa.record_batch([part.column(0).cast(pa.int64()), part.column(1), part.column(2), pa.array(n), lists, rare], names=["doc_id", "lang", "held_out", "letters", "bits", "rare"])
+
+    scored = rows.mapInArrow(run, "doc_id long, lang string, held_out boolean, letters long, bits array<double>, rare array<struct<key:long,n:long>>")
+    scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    other = scored.select("row", F.inline("rare")).join(table.where(F.col("n") < least).select("key", F.col("bits").alias("own")), "key")
+    more = other.groupBy("row").agg(F.array(*[F.sum(F.get("own", F.lit(j)) * F.col("n")) for j in range(size)]).alias("more"))
+    bits = F.zip_with("bits", F.coalesce("more", F.array_repeat(F.lit(0.0), size)), lambda a, b: (a + b) / F.greatest("letters", F.lit(1)))
+    return scored.join(more, "row", "left").select("doc_id", "lang", "held_out", "letters", bits.alias("bits"))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
