@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voucherlens.llm import chat, decontam, langid, lines, packing, pii, quality, simhash, suffixes, toxicity
+from voucherlens.llm import chat, decontam, langid, lines, packing, pii, quality, resample, simhash, suffixes, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -92,6 +97,27 @@ sha256(coalesce(t.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS conta
 FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
 """
 
+#: crc32 by its table of 256 entries, worked out here, over the UTF-8 bytes of distinct words.
+OP13_SQL = r"""
+WITH tab AS (SELECT list(list_reduce(range(8), lambda c, k: xor(c >> 1, (c & 1) * 3988292384), b) ORDER BY b) AS crcs FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS b)),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+dw AS (SELECT doc_id, unnest(w) AS w FROM d),
+sw AS (SELECT w, count(*) AS n FROM dw GROUP BY w), tw AS (SELECT w, count(*) AS n FROM b GROUP BY w),
+v AS (SELECT DISTINCT w FROM (SELECT w FROM sw UNION ALL SELECT w FROM tw)),
+k AS (SELECT w, xor(list_reduce(list_transform(range(1, length(h), 2), lambda i: CAST('0x' || substr(h, CAST(i AS INTEGER), 2) AS BIGINT)), lambda c, x: xor(c >> 8, crcs[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+ FROM (SELECT w, hex(encode(w)) AS h FROM v), tab),
+ss AS (SELECT bucket, sum(n) AS s FROM sw JOIN k USING (w) GROUP BY bucket), tt AS (SELECT bucket, sum(n) AS t FROM tw JOIN k USING (w) GROUP BY bucket),
+al AS (SELECT (SELECT coalesce(sum(n), 0) FROM sw) AS all_s, (SELECT coalesce(sum(n), 0) FROM tw) AS all_t),
+g AS (SELECT ss.bucket, CAST(floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (al.all_s::DOUBLE + 10000) / ((s::DOUBLE + 1) * (al.all_t::DOUBLE + 10000)))) AS BIGINT) AS gain FROM ss LEFT JOIN tt ON ss.bucket = tt.bucket, al),
+f AS (SELECT doc_id, count(*) AS n, sum(gain) AS gained FROM dw JOIN k USING (w) JOIN g USING (bucket) GROUP BY doc_id),
+x AS (SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_features, CAST(coalesce(floor(CAST(f.gained AS DOUBLE) / f.n), 0) AS BIGINT) AS weight,
+ CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN f ON d.doc_id = f.doc_id),
+y AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM x),
+z AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM y WHERE n_features >= 20)
+SELECT y.doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank FROM y LEFT JOIN z ON y.doc_id = z.doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
@@ -103,5 +129,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_chat": op9_chat,
     "op10_decontamination": op10_decontamination,
+    "op13_resample": op13_resample,
 }
-ORACLE_SQL: dict[str, str] = {"op10_decontamination": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op10_decontamination": OP10_SQL, "op13_resample": OP13_SQL}
