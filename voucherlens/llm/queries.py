@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voucherlens.llm import chat, decontam, langid, lines, packing, pii, quality, resample, simhash, suffixes, toxicity
+from voucherlens.llm import chat, decontam, langid, lines, packing, pii, quality, resample, runs, simhash, suffixes, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,33 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in a tenth of the documents, picked by crc32 of the id, the words from some place on repeat a stretch of the text."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("long")
+
+    def repeated(w: Column) -> Column:
+        a = (g % F.size(w)).cast("int")
+        p = (1 + F.floor((F.size(w) - a) / (3 + g % 8))).cast("int")
+        places = F.transform(F.array(F.struct(a.alias("a"), p.alias("p"))), lambda x: F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, F.when(i >= x["a"], x["a"] + (i - x["a"]) % x["p"]).otherwise(i))))
+        return F.array_join(F.get(places, 0), " ")
+
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    planted = F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, repeated(w)).otherwise("")), 0)
+    return docs.select("doc_id", F.when((h % 10 == 0) & F.col("text").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(_with_planted_runs(_table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    said = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), F.concat(r["period"].cast("string"), F.lit("\n")))), "")
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("r"), F.sha2(said.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    return found.select(
+        "doc_id", "n_runs", (-F.col("r.start")).alias("start"), F.col("r.length").alias("length"), (-F.col("r.period")).alias("period"),
+        F.expr("1000 * r.length div -r.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_features", "weight", "score", "rank")
@@ -129,6 +156,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_chat": op9_chat,
     "op10_decontamination": op10_decontamination,
+    "op11_runs": op11_runs,
     "op13_resample": op13_resample,
 }
 ORACLE_SQL: dict[str, str] = {"op10_decontamination": OP10_SQL, "op13_resample": OP13_SQL}

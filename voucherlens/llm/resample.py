@@ -32,10 +32,14 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, max_n: int, chunk_words
 def buckets_of(tokens: Column, owned: Column, max_n: int, buckets: int) -> Column:
     """Hash buckets of all runs of 1 to `max_n` words that start within the first `owned` words, repeats included."""
     hashed = lambda feature: (F.crc32(feature.cast("binary")) % buckets).cast("int")
+
+    def run_of(n: int):
+        return lambda i: hashed(F.array_join(F.slice(tokens, i, F.lit(n)), " "))
+
     parts = [F.transform(F.slice(tokens, F.lit(1), owned), hashed)]
     for n in range(2, max_n + 1):
         last = F.least(owned, F.size(tokens) - n + 1)
-        runs = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i, n=n: hashed(F.array_join(F.slice(tokens, i, F.lit(n)), " ")))
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), run_of(n))
         parts.append(F.when(last >= 1, runs).otherwise(F.array().cast("array<int>")))
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
