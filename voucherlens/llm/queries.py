@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voucherlens.llm import chat, decontam, langid, lines, packing, pii, quality, resample, runs, simhash, suffixes, toxicity
+from voucherlens.llm import chat, decontam, jaccard, langid, lines, packing, pii, quality, resample, runs, simhash, suffixes, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,6 +104,11 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_features", "weight", "score", "rank")
@@ -157,6 +162,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat": op9_chat,
     "op10_decontamination": op10_decontamination,
     "op11_runs": op11_runs,
+    "op12_jaccard": op12_jaccard,
     "op13_resample": op13_resample,
 }
 ORACLE_SQL: dict[str, str] = {"op10_decontamination": OP10_SQL, "op13_resample": OP13_SQL}
