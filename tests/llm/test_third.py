@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from voucherlens.llm import queries, resample, runs
+from voucherlens.llm import jaccard, queries, resample, runs
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -136,3 +136,90 @@ def test_resample_of_empty_tables_and_repeated_rows(spark):
     assert [x[0] for x in got] == [4, 5, 5] and sorted(x[5] for x in got) == [1, 2, 3] and got[1][:5] == got[2][:5]
     with pytest.raises(ValueError):
         resample.resample(some, some, percent=101)
+
+
+def brute_links(texts, percent, n):
+    sets = {}
+    for d, text in texts.items():
+        w = SPACED.findall(lower(text))
+        sets[d] = frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
+    parent = {d: d for d in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids, pairs = sorted(sets), 0
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+                pairs += sets[a] != sets[b]
+    return {d: (len(sets[d]), root(d)) for d in ids}, pairs
+
+
+def near_texts(seed, count, sizes):
+    r = random.Random(seed)
+    vocab = ["".join(r.choice("abcdÉé") for _ in range(r.randint(1, 5))) for _ in range(300)]
+    passage = [r.choice(vocab) for _ in range(30)]
+    out = [None, "", " \n", "one", "ONE", "one two three four", "One  two three\tfour"]
+    while len(out) < count:
+        if r.random() < 0.6 and len(out) > 20:
+            w = (out[r.randrange(7, len(out))]).split(" ")
+            for _ in range(r.choice([0, 1, 1, 2])):
+                w[r.randrange(len(w))] = r.choice(vocab)
+            if r.random() < 0.3:
+                w.append(r.choice(vocab))
+            out.append(" ".join(w))
+        else:
+            w = [r.choice(vocab) for _ in range(r.choice(sizes))]
+            out.append(" ".join(w + passage if r.random() < 0.4 else w))
+    return {i * 7 % 2003: x for i, x in enumerate(out)}
+
+
+@pytest.mark.parametrize(("percent", "n", "sizes", "boundary"), [(85, 4, [8, 12, 16, 22, 60, 200], None), (85, 1, [6, 9, 14, 18, 25], 14), (85, 4, [12, 16, 20, 24], 20), (60, 2, [5, 7, 9, 30], 7), (100, 2, [3, 9], 0)])
+def test_jaccard_against_brute_force(spark, monkeypatch, percent, n, sizes, boundary):
+    texts = near_texts(n + percent, 260, sizes)
+    if boundary is not None:
+        monkeypatch.setattr(jaccard, "choose_boundary", lambda costs, _: boundary)
+    if n == 4:  # long lists and several tiles on a small table
+        monkeypatch.setattr(jaccard, "_SHORT", 2)
+        monkeypatch.setattr(jaccard, "_TILE", 5)
+    want, pairs = brute_links(texts, percent, n)
+    rows = [(d, x, *EXTRA) for d, x in texts.items()]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, CLASHING), percent, n).collect()
+    assert {r.doc_id: (r.n, r.component_id) for r in got} == want and len(got) == len(want)
+    assert pairs > 10 or percent == 100
+
+
+def test_jaccard_awkward_rows(spark):
+    long = " ".join(f"w{i}" for i in range(40_000))
+    rows = [(None, "a b c d e"), (9, "a b c d e"), (9, "a b c d e"), (4, "A b c D e"), (None, "z z"), (None, None), (7, long), (8, long + " x"), (2, "")]
+    got = jaccard.jaccard_components(spark.createDataFrame([(*r, *EXTRA) for r in rows], CLASHING)).collect()
+    key = lambda x: tuple(-1 if v is None else v for v in x)
+    want = [(None, 0, None), (None, 1, None), (None, 2, 4), (2, 0, 2), (4, 2, 4), (7, 39_997, 7), (8, 39_998, 7), (9, 2, 4), (9, 2, 4)]
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    assert jaccard.jaccard_components(spark.createDataFrame([], CLASHING)).collect() == []
+
+
+def test_bitmaps_leave_out_no_link():
+    r = np.random.default_rng(1)
+    for _ in range(300):
+        size = int(r.integers(1, 700))
+        a = np.unique(r.integers(0, 2**63, size, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: max(1, len(a) - int(r.integers(0, 1 + len(a) // 6)))], r.integers(0, 2**63, int(r.integers(0, 1 + len(a) // 6)), dtype=np.uint64)]))
+        common = len(np.intersect1d(a, b))
+        x, y = (np.frombuffer(jaccard.parity_bits(s), dtype=np.uint64).reshape(1, -1) for s in (a, b))
+        if 100 * common >= 85 * (len(a) + len(b) - common):
+            assert jaccard._may_link(np.array([len(a)]), np.array([len(b)]), x, y, 85)[0]
+
+
+def test_boundary_by_cost():
+    assert jaccard.choose_boundary([], 85) == 0
+    assert jaccard.choose_boundary([(7, 10, 1000), (20, 10, 10)], 85) == 7
+    assert jaccard.choose_boundary([(7, 10, 0), (20, 10, 10**6)], 85) == 20
+    for a in range(1, 33):
+        for b, c in jaccard.subset_sizes(a, 85):
+            assert 100 * c >= 85 * (a + b - c) and 100 * (c - 1) < 85 * (a + b - c + 1)

@@ -6,8 +6,11 @@ lists: those of a set's rarest n-grams, of which two linked sets share one. Up t
 chosen by cost, from the sizes and the lists' lengths as counted.
 
 N-grams are ordered by counts of hash buckets over all documents (a table of fixed size), so that common passages come
-last. A list's members are first held against one of them, which joins a group of near copies in as many comparisons as
-it has members; then against all whose component still differs. Every candidate is decided by the sets themselves.
+last. A short list gives its pairs; a long one is cut into tiles, and pairs of tiles are compared within a task. Pairs
+are held against each other by parity bitmaps first: two sets differ in at least as many members as their bitmaps in
+bits, so what lies too far apart is left out for certain. Of the pairs that remain in long lists a spanning forest is
+tried, twice, then all whose components still differ, so that a group of near copies costs rows in proportion to its
+size. Every link is decided by the sets themselves.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ SEED = 42
 _BITS, _SLICES = 20, 64  # of the table of bucket counts
 _SMALLEST_HEAVY = 32  # sets of more n-grams are never enumerated: subsets would be tens of thousands a set
 _MAX_SENT = 1 << 20  # rows of ids that a broadcast may have (16 MB)
+_SHORT, _TILE = 16, 1024  # members of a short list, and of a tile of a long one
 
 
 class _Hashes(dict):
@@ -76,6 +80,28 @@ def _key_of(found: np.ndarray) -> tuple[int, int]:
     return tuple(x - (1 << 64) if x >= 1 << 63 else x for x in (d >> 64, d & ((1 << 64) - 1)))
 
 
+def parity_bits(found: np.ndarray) -> bytes:
+    """A bitmap of as many bits as the set has members, or up to twice as many: a bit is set if an odd number of members falls on it."""
+    many = max(64, 1 << (len(found) - 1).bit_length())
+    odd = np.bincount(((found >> np.uint64(7)) & np.uint64(many - 1)).astype(np.int64), minlength=many) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (a row each) as they would be with fewer words."""
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+def _may_link(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of `a` and `b` members with bitmaps `x` and `y` (rows, broadcast against each other) can link."""
+    words = min(x.shape[1], y.shape[1])
+    apart = np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum(axis=1, dtype=np.int64)
+    return (apart <= a + b - 2 * -(-percent * (a + b) // (100 + percent))) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+
+
 def _sets(batch: pa.RecordBatch, known: _Hashes, n: int) -> Iterator[tuple[int | None, np.ndarray]]:
     for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
         yield i, ngram_set(text.as_buffer().to_pybytes() if text.is_valid else b"", known, n)
@@ -123,7 +149,7 @@ def _commonness(counts: DataFrame) -> np.ndarray:
 
 
 def _entries(docs: DataFrame, nodes: DataFrame, common: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(node, n, rare, all): for each node its rarest n-grams, of which linked sets share one, and the whole set where it is small."""
+    """(node, n, rare, all, bits): for each node its rarest n-grams, of which linked sets share one, the whole set where it is small, and its bitmap."""
     order = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,12 +162,12 @@ def _entries(docs: DataFrame, nodes: DataFrame, common: np.ndarray, n: int, perc
                         continue
                     least = np.argsort(common[(found >> np.uint64(64 - _BITS)).astype(np.int64)], kind="stable")
                     rare = found[least[: len(found) - -(-percent * len(found) // 100) + 1]]
-                    rows.append((i, *_key_of(found), rare.view(np.int64), found.view(np.int64) if len(found) <= _SMALLEST_HEAVY else None))
+                    rows.append((i, *_key_of(found), rare.view(np.int64), found.view(np.int64) if len(found) <= _SMALLEST_HEAVY else None, parity_bits(found)))
                 if rows:
-                    yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2, strict=True)], names=["node", "k1", "k2", "rare", "all"])
+                    yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2 + [pa.binary()], strict=True)], names=["node", "k1", "k2", "rare", "all", "bits"])
 
-    found = docs.mapInArrow(run, "node long, k1 long, k2 long, rare array<long>, all array<long>")
-    return found.join(nodes.select("node", "k1", "k2", "n"), ["node", "k1", "k2"]).select("node", "n", "rare", "all")
+    found = docs.mapInArrow(run, "node long, k1 long, k2 long, rare array<long>, all array<long>, bits binary")
+    return found.join(nodes.select("node", "k1", "k2", "n"), ["node", "k1", "k2"]).select("node", "n", "rare", "all", "bits")
 
 
 def choose_boundary(costs: list[tuple[int, int, int]], percent: int) -> int:
@@ -181,8 +207,101 @@ def _subset_pairs(entries: DataFrame, boundary: int, percent: int) -> DataFrame:
     return pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def _sized(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _short_pairs(lists: DataFrame, boundary: int, percent: int) -> DataFrame:
+    """(u, v): the pairs of lists of up to 16 members that sizes and places allow, one of them large."""
+    rows = lists.where(F.col("many") <= _SHORT)
+    a, b = (rows.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "place")]) for s in "ab")
+    smaller = F.struct("n_a", "node_a") < F.struct("n_b", "node_b")
+    sized = 100 * F.col("n_a") >= percent * F.col("n_b")
+    met = a.join(b, (a["gram"] == b["gram"]) & smaller & sized & (F.col("n_b") > boundary) & (F.col("place_a") < _index_length(F.col("n_a"), percent)))
+    return met.select(F.least("node_a", "node_b").alias("u"), F.greatest("node_a", "node_b").alias("v")).distinct()
+
+
+def _index_length(n: Column, percent: int) -> Column:
+    """Of how many of its rarest n-grams a set shares one with any linked set that is no smaller."""
+    return n - F.ceil(2 * percent * n / (100 + percent)) + 1
+
+
+def _near(pairs: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (u, v) whose bitmaps allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for a, b, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                rows = [np.frombuffer(s, dtype=np.uint64).reshape(1, -1) for s in (x, y)]
+                kept.append(bool(_may_link(np.array([a]), np.array([b]), *rows, percent)[0]))
+            yield pa.record_batch([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(kept, pa.bool_()))
+
+    for side in ("u", "v"):
+        pairs = pairs.join(entries.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"b{side}")), side)
+    return pairs.select("u", "v", "nu", "nv", "bu", "bv").mapInArrow(run, "u long, v long")
+
+
+def tile_pairs(left: dict, right: dict, same: bool, boundary: int, percent: int, forest: bool, last_first: bool) -> list[tuple[int, int]]:
+    """Pairs of a tile's members with another's (or its own) that may link: all, or a spanning forest over their labels.
+
+    A side has node, n, short (the list's n-gram is among the rarest that a smaller set counts), label and bits by word count.
+    """
+    side = [left] if same else [left, right]
+    label, out = {x: x for s in side for x in s["label"].tolist()}, []
+
+    def root(x: int) -> int:
+        while label[x] != x:
+            label[x] = label[label[x]]
+            x = label[x]
+        return x
+
+    for i in range(len(left["node"]) - 1, -1, -1) if last_first else range(len(left["node"])):
+        own = left["bits"][i].reshape(1, -1)
+        for words, (places, bits) in right["classes"].items():
+            j = places[right["label"][places] != left["label"][i]]
+            if not len(j) or not words // 2 <= own.shape[1] <= words * 2:
+                continue
+            rows = bits if len(j) == len(places) else bits[right["label"][places] != left["label"][i]]
+            a, b = left["n"][i], right["n"][j]
+            fine = _may_link(a, b, own, rows, percent) & (np.maximum(a, b) > boundary) & np.where((a < b) | ((a == b) & (left["node"][i] < right["node"][j])), left["short"][i], right["short"][j])
+            if same:
+                fine &= j > i
+            for k in (j[fine][::-1] if last_first else j[fine]).tolist():
+                if forest:
+                    x, y = root(int(left["label"][i])), root(int(right["label"][k]))
+                    if x == y:
+                        continue
+                    label[max(x, y)] = min(x, y)
+                out.append(tuple(sorted((int(left["node"][i]), int(right["node"][k])))))
+    return out
+
+
+def _long_pairs(lists: DataFrame, labels: DataFrame | None, entries: DataFrame, boundary: int, percent: int, forest: bool, last_first: bool = False) -> DataFrame:
+    """(u, v): pairs of long lists that bitmaps allow and whose components differ, by pairs of tiles within a task."""
+    rows = lists.where(F.col("many") > _SHORT).withColumn("label", F.col("node"))
+    if labels is not None:
+        rows = rows.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        mixed = rows.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gram")
+        rows = rows.join(mixed, "gram")
+    rows = rows.join(entries.select("node", "bits"), "node").withColumn("short", F.col("place") < _index_length(F.col("n"), percent))
+    tiles = rows.withColumn("k", F.ceil(F.col("many") / _TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    tiles = written(tiles.groupBy("gram", "tile", "k").agg(F.array_sort(F.collect_list(F.struct("node", "n", "label", "short", "bits"))).alias("members")), "tiles")
+    left = tiles.select("gram", F.col("tile").alias("ta"), F.explode(F.sequence("tile", F.col("k") - 1)).alias("tb"), F.col("members").alias("a"))
+    both = left.join(tiles.select("gram", F.col("tile").alias("tb"), F.col("members").alias("b")), ["gram", "tb"])
+
+    def side(members: pa.StructArray) -> dict:
+        out = {c: members.field(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "label", "short")}
+        out["bits"] = [np.frombuffer(x, dtype=np.uint64) for x in members.field("bits").to_pylist()]
+        words = np.array([len(x) for x in out["bits"]])
+        out["classes"] = {int(w): (np.flatnonzero(words == w), np.stack([out["bits"][i] for i in np.flatnonzero(words == w)])) for w in np.unique(words)}
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ta, tb, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                x = side(a.values)
+                found = tile_pairs(x, x if ta == tb else side(b.values), ta == tb, boundary, percent, forest, last_first)
+                if found:
+                    yield pa.record_batch([pa.array(s, pa.int64()) for s in zip(*found, strict=True)], names=["u", "v"])
+
+    return both.select("ta", "tb", "a", F.when(F.col("ta") != F.col("tb"), F.col("b")).otherwise(F.slice("b", 1, 1)).alias("b")).mapInArrow(run, "u long, v long").distinct()
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
@@ -244,28 +363,13 @@ def jaccard_components(docs: DataFrame, percent: int = 85, n: int = 4, id_col: s
     lists = lists.where(100 * F.greatest("n", F.lit(boundary + 1)) <= 100 * F.col("n") + (100 - percent) * F.lit(boundary + 1))  # may link with a large set
     large = lambda *sizes: F.greatest(*sizes) > boundary
 
-    # one of each list's members of like size against the others
-    band = F.floor(F.log("n") / F.log(F.lit(100.5 / percent))).alias("band") if percent < 100 else F.col("n").alias("band")
-    banded = lists.withColumn("band", band)
-    first = banded.groupBy("gram", "band").agg(F.min(F.struct("node", "n")).alias("first"))
-    stars = banded.join(first, ["gram", "band"]).where((F.col("node") != F.col("first.node")) & _sized(F.col("n"), F.col("first.n"), percent) & large(F.col("n"), F.col("first.n")))
-    stars = stars.select(F.least("node", "first.node").alias("u"), F.greatest("node", "first.node").alias("v"))
-    tried = written(stars.unionByName(_subset_pairs(entries, boundary, percent)).distinct(), "stars")
+    first = _short_pairs(lists, boundary, percent).unionByName(_subset_pairs(entries, boundary, percent)).distinct()
+    tried = written(_near(first, entries, percent).unionByName(_long_pairs(lists, None, entries, boundary, percent, True)).distinct(), "pairs")
     edges = _linked(tried, docs, nodes, n, percent)
-
-    # lists whose members are not yet in one component: all pairs across components
-    label = connected_components(edges)
-    rest = lists.join(label, "node", "left").select("gram", "node", "n", "place", F.coalesce("component", "node").alias("label"))
-    rest = written(rest, "labelled")
-    mixed = rest.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gram")
-    rest = rest.join(mixed, "gram")
-    a, b = (rest.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "place", "label")]) for s in "ab")
-    # the smaller set (the first of equals) shares one of its rarest as counted from the larger size on
-    short = F.col("place_a") <= F.col("n_a") - F.ceil(2 * percent * F.col("n_a") / (100 + percent))
-    smaller = F.struct("n_a", "node_a") < F.struct("n_b", "node_b")
-    across = a.join(b, (a["gram"] == b["gram"]) & smaller & (F.col("label_a") != F.col("label_b")) & _sized(F.col("n_a"), F.col("n_b"), percent) & large(F.col("n_a"), F.col("n_b")) & short)
-    across = across.select(F.least("node_a", "node_b").alias("u"), F.greatest("node_a", "node_b").alias("v")).distinct()
-    edges = edges.unionByName(_linked(written(across.join(tried, ["u", "v"], "left_anti"), "across"), docs, nodes, n, percent))
+    for forest in (True, False):
+        more = _long_pairs(lists, connected_components(edges), entries, boundary, percent, forest, True).join(tried, ["u", "v"], "left_anti")
+        more = written(more, "pairs")
+        tried, edges = tried.unionByName(more), edges.unionByName(_linked(more, docs, nodes, n, percent))
 
     parts = connected_components(edges)
     of = nodes.join(parts, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id"))
