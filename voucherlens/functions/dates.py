@@ -1,14 +1,7 @@
-"""Dates: ISO spans, the partial-credit score, dates in label texts, verbatim dates.
-
-Spans and scores are Catalyst expressions. The verbatim parser is an Arrow UDF, meant for distinct values.
-"""
+"""Dates: ISO spans, the partial-credit score, durations. All are Catalyst expressions."""
 
 from __future__ import annotations
 
-import datetime as dt
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -108,195 +101,7 @@ MONTHS = {
     10: "october oct oktober okt octobre octobris ottobre octubre hydref 十月", 11: "november nov novembre novembris noviembre tachwedd 十一月",
     12: "december dec dezember dez décembre decembre decembris dicembre diciembre rhagfyr 十二月",
 }
-WEEKDAYS = "monday tuesday wednesday thursday friday saturday sunday".split()
 ROMAN = ["I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII"]
-_NAMES = {name: n for n, names in MONTHS.items() for name in names.split()}
-_ROMANS = {r.lower(): i + 1 for i, r in enumerate(ROMAN)}
-_MON = "|".join(sorted(_NAMES, key=len, reverse=True))
-_ROM = "|".join(sorted(_ROMANS, key=len, reverse=True))
-_ORD = r"(?:st|nd|rd|th|\.)?"
-_YEAR = r"(\d{4})"
-
-
-def _month(text: str) -> int:
-    key = text.strip(". ").lower()
-    return int(key) if key.isdigit() else _NAMES.get(key) or _ROMANS.get(key) or 0
-
-
-def _iso(y: int, m: int, d: int) -> str | None:
-    try:
-        return dt.date(y, m, d).isoformat()
-    except ValueError:
-        return None
-
-
-def _one(order: str):
-    """A reader of y, m, d groups in the given order."""
-
-    def read(groups: tuple[str, ...]) -> tuple[str, str] | None:
-        at = dict(zip(order, groups, strict=True))
-        day = _iso(int(at["y"]), _month(at["m"]), int(at["d"]))
-        return ("DATE", day) if day else None
-
-    return read
-
-
-def _span(a: str | None, b: str | None) -> tuple[str, str] | None:
-    return ("RANGE", f"{a}/{b}") if a and b and a <= b else None
-
-
-def _either(groups: tuple[str, ...]) -> tuple[str, str] | None:
-    """Day and month in unknown order."""
-    a, b, y = (int(x) for x in groups)
-    days = sorted({x for x in (_iso(y, a, b), _iso(y, b, a)) if x})
-    return None if not days else ("DATE", days[0]) if len(days) == 1 else ("AMBIGUOUS", "/".join(days))
-
-
-def _dotted(groups: tuple[str, ...]) -> tuple[str, str] | None:
-    """Year, then month and day in unknown order; a month of two digits is one."""
-    y, a, b = groups
-    both = _iso(int(y), int(a), int(b))
-    return ("DATE", both) if both and len(a) == 2 else _either((a, b, y))
-
-
-def _weekday(groups: tuple[str, ...]) -> tuple[str, str] | None:
-    """A date whose day of the week is right."""
-    name, d, m, y = groups
-    day = _iso(int(y), _month(m), int(d))
-    return ("DATE", day) if day and WEEKDAYS[dt.date.fromisoformat(day).weekday()].startswith(name.lower()) else None
-
-
-def _monthly(y: str, m: str) -> tuple[str, str] | None:
-    return ("RANGE", f"{y}-{_month(m):02d}") if 1 <= _month(m) <= 12 else None
-
-
-def _ordinal(y: str, n: str) -> tuple[str, str] | None:
-    day = dt.date(int(y), 1, 1) + dt.timedelta(int(n) - 1) if int(y) and int(n) else None
-    return ("DATE", day.isoformat()) if day and day.year == int(y) else None
-
-
-def _days(groups: tuple[str, ...]) -> tuple[str, str] | None:
-    """Two days of one month; "and" between days that aren't neighbours is no range."""
-    a, word, b, m, y = groups
-    found = _span(_iso(int(y), _month(m), int(a)), _iso(int(y), _month(m), int(b)))
-    apart = word.strip().lower() in ("and", "et", "&", "und") and int(b) - int(a) > 1
-    return (("DISJUNCT_RANGE" if apart else "RANGE"), found[1]) if found else None
-
-
-def _months(groups: tuple[str, ...]) -> tuple[str, str] | None:
-    a, word, b, y = groups
-    apart = word.strip().lower() in ("and", "et", "&", "und") and _month(b) - _month(a) > 1
-    return ("DISJUNCT_RANGE" if apart else "RANGE", f"{y}-{_month(a):02d}/{y}-{_month(b):02d}") if _month(a) <= _month(b) else None
-
-
-def _short_years(groups: tuple[str, ...]) -> tuple[str, str] | None:
-    a, b = groups
-    return ("RANGE", f"{a}/{a[:2]}{b}") if int(b) > int(a[2:]) else None
-
-
-#: Forms of a verbatim date in the order they are tried, with a reader of their groups.
-_FORMS = [
-    (rf"{_YEAR}[-/](\d{{1,2}})[-/](\d{{1,2}})(?:T.*)?", _one("ymd")),
-    (rf"{_YEAR}[-/ ]({_MON})\.?[-/ ](\d{{1,2}})(?:T.*)?", _one("ymd")),
-    (rf"{_YEAR}[-.,](1[3-9]|[23]\d)[-.,](\d{{1,2}})", _one("ydm")),
-    (rf"{_YEAR}[.,](\d{{1,2}})[.,](\d{{1,2}})", _dotted),
-    (rf"(0?[1-9]|1[0-2])[-/. ]{_YEAR}", lambda g: _monthly(g[1], g[0])),
-    (r"(\d{4})年(\d{1,2})月(\d{1,2})[日号]", _one("ymd")),
-    (rf"{_YEAR}-(\d{{3}})/{_YEAR}-(\d{{3}})", lambda g: _span((_ordinal(*g[:2]) or (0, None))[1], (_ordinal(*g[2:]) or (0, None))[1])),
-    (r"(\d{4})0000", lambda g: ("RANGE", g[0])),
-    (_YEAR, lambda g: ("RANGE", g[0])),
-    (r"(\d{2})00'?s", lambda g: ("RANGE", f"{g[0]}00-01-01/{g[0]}99-12-31")),
-    (r"(\d{3})0'?s", lambda g: ("RANGE", f"{g[0]}0-01-01/{g[0]}9-12-31")),
-    (rf"({_MON}|{_ROM})[.,]?[-/ ,.]+{_YEAR}", lambda g: _monthly(g[1], g[0])),
-    (rf"{_YEAR}[-/ ,.]+({_MON})\.?", lambda g: _monthly(g[0], g[1])),
-    (rf"(\d{{1,2}})[-/. ]+(\d{{1,2}})[-/. ]+{_YEAR}", _either),
-    (rf"((?:mon|tues|wednes|thurs|fri|satur|sun)day|mon|tue|wed|thu|fri|sat|sun),? (\d{{1,2}})(?:st|nd|rd|th) ({_MON})\.?,? {_YEAR}", _weekday),
-    (rf"(\d{{1,2}}){_ORD}[-/., ]*(?:of )?({_MON}|{_ROM})[-/., ]+{_YEAR}", _one("dmy")),
-    (rf"({_MON}|{_ROM})\.?[-/ ]*(\d{{1,2}}){_ORD}[-/, ]+{_YEAR}", _one("mdy")),
-    (rf"(?:xx|\?\?|--?)[-/. ](\d{{1,2}})[-/. ]{_YEAR}", lambda g: _monthly(g[1], g[0])),
-    (rf"(?:xx|\?\?)[-/. ](?:xxx?|\?\??\??)[-/. ]{_YEAR}", lambda g: ("RANGE", g[0])),
-    (rf"(\d{{2}})[-. ]xxx[-. ]{_YEAR}", lambda g: _span(_iso(int(g[1]), 1, int(g[0])), _iso(int(g[1]), 12, int(g[0])))),
-    (rf"([12][07-9]) (\d{{1,2}})/(\d{{1,2}}|{_ROM}) (\d{{2}})", lambda g: _one("dmy")((g[1], g[2], g[0] + g[3]))),
-    (rf"{_YEAR}-(\d{{3}})", lambda g: _ordinal(*g)),
-    (rf"{_YEAR}-(0[1-9]|1[0-2])", lambda g: ("SUSPECT", f"{g[0]}-{g[1]}") if int(g[0][2:]) < int(g[1]) else ("RANGE", f"{g[0]}-{g[1]}")),
-    (r"(\d{4})-(\d{2})", _short_years),
-    (r"(\d{4})(\d{2})(\d{2})", _one("ymd")),
-    (rf"{_YEAR} ?(?:-|to|–) ?{_YEAR}", lambda g: ("RANGE", f"{g[0]}/{g[1]}") if g[0] <= g[1] else None),
-    (rf"({_MON})\.? ?(to|-|and|et|&) ?({_MON})\.?,? {_YEAR}", _months),
-    (rf"(\d{{1,2}})[-/ ]({_MON})\.?[-/ ]{_YEAR} ?- ?(\d{{1,2}})[-/ ]({_MON})\.?[-/ ]{_YEAR}", lambda g: _span(_iso(int(g[2]), _month(g[1]), int(g[0])), _iso(int(g[5]), _month(g[4]), int(g[3])))),
-    (rf"({_MON})\.? (\d{{1,2}}) ?- ?({_MON})\.? (\d{{1,2}}),? {_YEAR}", lambda g: _span(_iso(int(g[4]), _month(g[0]), int(g[1])), _iso(int(g[4]), _month(g[2]), int(g[3])))),
-    (rf"(\d{{1,2}}) ({_MON})\.? ?- ?(\d{{1,2}}) ({_MON})\.?,? {_YEAR}", lambda g: _span(_iso(int(g[4]), _month(g[1]), int(g[0])), _iso(int(g[4]), _month(g[3]), int(g[2])))),
-    (rf"(\d{{1,2}})( ?- ?| ?& ?| and | et | und | to )(\d{{1,2}})[. ]+({_MON}|{_ROM})\.?,? {_YEAR}", _days),
-    (rf"({_MON})\.?,? ?(\d{{1,2}})( ?- ?| and | to )(\d{{1,2}}),? {_YEAR}", lambda g: _days((g[1], g[2], g[3], g[0], g[4]))),
-    (rf"{_YEAR}-(\d{{2}})/{_YEAR}-(\d{{2}})", lambda g: ("RANGE", f"{g[0]}-{g[1]}/{g[2]}-{g[3]}") if (g[0], g[1]) <= (g[2], g[3]) else None),
-]
-
-
-def read_verbatim(text: str | None, suspect_before: int = 1000) -> tuple[str, str | None]:
-    """(state, ISO date or interval) of a verbatim date: DATE, RANGE, AMBIGUOUS, SUSPECT, DISJUNCT_RANGE or NOT_RUN."""
-    v = re.sub(r"\[no (?:date|year)\]|[\[\]\"]", "", text or "", flags=re.IGNORECASE).strip().rstrip(".").strip()
-    v = re.sub(r"\s+", " ", v)
-    half = len(v) // 2
-    if len(v) > 8 and len(v) % 2 == 1 and v[half] in " /" and v[:half] == v[half + 1 :]:
-        v = v[:half]
-    if not re.search(r"\d{4}", v) and not re.fullmatch(rf"[12][07-9] \d{{1,2}}/(?:\d{{1,2}}|{_ROM}) \d{{2}}", v, flags=re.IGNORECASE):
-        return "NOT_RUN", None
-    for pattern, read in _FORMS:
-        m = re.fullmatch(pattern, v, flags=re.IGNORECASE)
-        found = read(m.groups()) if m else None
-        if found:
-            return ("SUSPECT" if int(found[1][:4]) < suspect_before else found[0]), found[1]
-    return "NOT_RUN", None
-
-
-def verbatim_date(c: Column) -> Column:
-    """struct(state, result) by `read_verbatim`, as an Arrow UDF; apply it to distinct values."""
-
-    def read(values: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([read_verbatim(v) for v in values], columns=["state", "result"])
-
-    return F.pandas_udf(read, "state string, result string")(c)
-
-
-def label_dates(text: Column, hint_year: Column) -> Column:
-    """array<struct(iso, confidence, pos)> of dates in a label text, by pattern: day, month and year forms, then months, ranges and the hinted year."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    number = F.create_map(*[F.lit(x) for n, names in MONTHS.items() for name in names.split() for x in (name, n)])
-    roman = F.create_map(*[F.lit(x) for r, n in _ROMANS.items() for x in (r, n)])
-
-    def all_(pattern: str, order: str, confidence: int, months: Column | None = None) -> Column:
-        def one(x: Column) -> Column:
-            part = {k: F.regexp_extract(x, pattern, i + 1) for i, k in enumerate(order)}
-            y = part["y"].try_cast("int")
-            m = (F.try_element_at(months, part["m"]) if months is not None else part["m"].try_cast("int")) if "m" in part else None
-            y = F.when(y >= 100, y).otherwise(F.floor(hint_year / 100).cast("int") * 100 + y)
-            iso = F.format_string("%04d", y)
-            if m is not None:
-                iso = F.concat_ws("-", iso, F.lpad(m.cast("string"), 2, "0"), F.lpad(part["d"].try_cast("int").cast("string"), 2, "0") if "d" in part else F.lit(None).cast("string"))
-            ok = F.lit(True) if m is None else m.between(1, 12)
-            if "d" in part:
-                ok = ok & part["d"].try_cast("int").between(1, 31)
-            return F.when(ok, F.struct(iso.alias("iso"), F.lit(confidence).alias("confidence")))
-
-        return F.filter(F.transform(F.regexp_extract_all(low, F.lit(f"({pattern})"), 1), lambda x: one(x)), lambda x: x.isNotNull())
-
-    found = F.concat(
-        all_(r"\b(\d{4})-(\d{1,2})-(\d{1,2})\b", "ymd", 3),
-        all_(rf"\b(\d{{1,2}})(?:st|nd|rd|th)?[./ \-]+({_ROM})[./ \-]+(\d{{4}}|\d{{2}})\b", "dmy", 3, roman),
-        all_(r"\b(\d{1,2})\.\s?(\d{1,2})\.\s?(\d{4}|\d{2})\b", "dmy", 3),
-        all_(rf"\b({_MON})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})\b", "mdy", 3, number),
-        all_(rf"\b(\d{{1,2}})(?:st|nd|rd|th|\.)?\s+({_MON})\.?,?\s+(\d{{4}})\b", "dmy", 3, number),
-        all_(rf"(?<![\w.] ?)\b({_ROM})[./\-](\d{{4}})\b", "my", 1, roman),
-        all_(rf"(?<!\d )\b({_MON})\.?,?\s+(\d{{4}})\b", "my", 1, number),
-    )
-    bare = F.when(F.exists(F.regexp_extract_all(low, F.lit(r"\b(\d{4})\b"), 1), lambda y: y == hint_year.cast("string")), F.array(F.struct(hint_year.cast("string").alias("iso"), F.lit(0).alias("confidence"))))
-    return F.concat(found, F.coalesce(bare, F.array().cast("array<struct<iso:string,confidence:int>>")))
-
-
-def best_label_date(text: Column, hint_year: Column) -> Column:
-    """The candidate of a hinted year first, then of higher confidence, then the earlier pattern."""
-    ranked = F.transform(label_dates(text, hint_year), lambda x, i: F.struct((F.substring(x["iso"], 1, 4) != hint_year.cast("string")).alias("other"), (-x["confidence"]).alias("rank"), i.alias("pos"), x["iso"].alias("iso")))
-    return F.get(F.array_sort(ranked), 0)["iso"]
 
 
 def timed_seconds(c: Column) -> Column:
@@ -307,6 +112,7 @@ def timed_seconds(c: Column) -> Column:
 
     def moment(bit: Column) -> Column:
         plain = F.regexp_replace(F.regexp_replace(bit, r"(?<=T.{2,20})(?:Z|[+-]\d{2}(?::?\d{2})?)$", ""), ",", ".")
+        plain = F.regexp_replace(plain, "T24", "T00")  # clock hour 24 is midnight at the start of the day
         whole = F.when(plain.rlike(r"T\d{2}$"), F.concat(plain, F.lit(":00"))).otherwise(plain)
         return F.when(whole.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:"), whole.try_cast("timestamp_ntz"))
 
@@ -318,6 +124,7 @@ def timed_seconds(c: Column) -> Column:
 
 
 def duration_seconds(c: Column) -> Column:
-    """Seconds of an ISO span of whole days, or between its times; null if it is neither."""
-    days = let(iso_span(c), lambda span: (F.datediff(span["last"], span["first"]) + 1).cast("long") * 86_400)
-    return F.when(c.contains("T"), timed_seconds(c)).otherwise(days)
+    """Seconds of an ISO date or interval of whole days, before the common era too, or between its times; null if it is neither."""
+    from voucherlens.functions import intervals
+
+    return F.when(c.contains("T"), timed_seconds(c)).otherwise(intervals.seconds(intervals.interval(F.trim(c))))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voucherlens.functions import dates, geo, text
+from voucherlens.functions import dates, geo, labels, text
 
 #: field -> kind, in the order of reports
 FIELDS = {
@@ -58,7 +58,7 @@ def score_collector(t: Column, e: Column) -> Column:
     return text.let(words, lambda w: F.when((F.size(w["a"]) > 0) & (F.size(w["b"]) > 0), _say(text.token_pair_cer(w["a"], w["b"], by_truth=True), "coll-cer")).otherwise(_say(text.cer(t, e), "cer")))
 
 
-def score_field(kind: str, truth: Column, found: Column, strict: Column | None = None, codes: tuple[Column, Column] | None = None, relation: Column | None = None, infraspecific: Column | None = None, label: Column | None = None, hint_year: Column | None = None) -> Column:
+def score_field(kind: str, truth: Column, found: Column, strict: Column | None = None, codes: tuple[Column, Column] | None = None, relation: Column | None = None, infraspecific: Column | None = None, label: Column | None = None) -> Column:
     """struct(score, method, note) of one field; a null score isn't counted. `label`: the label's text, which may settle a disagreement."""
     strict = F.lit(False) if strict is None else strict
     if kind in ("taxon", "epithet"):
@@ -69,7 +69,7 @@ def score_field(kind: str, truth: Column, found: Column, strict: Column | None =
 
     out = text.let(F.struct(text.clean_text(truth).alias("t"), text.clean_text(found).alias("e")), score)
     if label is not None:
-        out = text.let(out, lambda s: settle(s, kind, truth, found, label, hint_year))
+        out = text.let(out, lambda s: settle(s, kind, truth, found, label))
     return out
 
 
@@ -87,18 +87,24 @@ def _score_clean(kind: str, t: Column, e: Column, truth: Column, found: Column,
     return F.when(t == "na", _say(None, "N/A")).when(e == "na", missing).otherwise(kinds[kind]())
 
 
-def settle(scored: Column, kind: str, truth: Column, found: Column, label: Column, hint_year: Column | None) -> Column:
-    """A score below 1 is put against the label's text: what the label supports counts as right."""
+def settle(scored: Column, kind: str, truth: Column, found: Column, label: Column) -> Column:
+    """A score below 1 is put against the label's text: what the label supports counts as right.
+
+    Dates: the score of what the label's best date supports, or that of the two dates. Other kinds: both sides or the
+    found one word for word on the label count 1; only the true one, the likeness of the found words to it.
+    """
     open_ = scored["score"].isNotNull() & (scored["score"] < 1) & text.present(label)
     if kind == "date":
-        best = dates.best_label_date(label, hint_year if hint_year is not None else dates.components(truth)["y"])
-        for_found, for_truth = dates.date_accuracy(best, found), dates.date_accuracy(best, truth)
-        new = F.when(best.isNull(), scored["score"]).when((for_found == 1) & (for_truth == 1), 1.0).when(for_found > for_truth, for_found).otherwise(dates.date_accuracy(truth, found))
+        verdict = labels.resolve(truth, found, label)
+        new = text.let(verdict, lambda v: F.coalesce(v["corrected"], dates.date_accuracy(truth, found)))
         return F.when(open_, _say(new, "cer-manual-text")).otherwise(scored)
     pool = text.label_words(label)
     a, b = text.label_words(truth), text.label_words(found)
     ours, theirs = text.all_words_in(b, pool), text.all_words_in(a, pool)
-    new = F.when(ours, 1.0).when(theirs, text.token_pair_cer(a, b))
+    plain = lambda c: F.array_remove(F.split(F.trim(F.regexp_replace(c, r"(?U)[^\w\s]", " ")), r"\s+"), "")
+    words = text.geo_words if kind == "geo" else plain
+    own = lambda c: F.filter(plain(text.clean_text(c)), lambda w: ~w.isin(text.COLLECTOR_NOISE)) if kind == "collector" else words(text.clean_text(c))
+    new = F.when(ours, 1.0).when(theirs, text.token_pair_cer(own(truth), own(found)))
     return F.when(open_ & (ours | theirs), _say(new, "cer-manual-text")).otherwise(scored)
 
 

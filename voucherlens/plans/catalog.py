@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voucherlens.functions import dates, geo, text
+from voucherlens.functions import geo, intervals, labels, text
 from voucherlens.operators import checks, lookups, rollup, scoring
 from voucherlens.plans.specimens import backbone, borders, specimens, table
 
@@ -295,19 +295,36 @@ def check_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return failures_by_window(table(spark, sf_dir, "events"), 10.0, watermark=None)
 
 
-@query()
+@query(_SPECIMENS + """, v AS (SELECT specimen_id, d, specimen_id % 4 AS f, day(d) AS n, month(d) AS m, year(d) || '-' || lpad(CAST(day(d) AS VARCHAR), 2, '0') || '-' || lpad(CAST(month(d) AS VARCHAR), 2, '0') AS turned, strftime(d, '%Y-%m-%d') AS iso,
+CASE specimen_id % 4 WHEN 0 THEN strftime(d, '%d/%m/%Y') WHEN 1 THEN strftime(d, '%b ') || day(d) || ', ' || year(d) WHEN 2 THEN day(d) || '.' || ['I','II','III','IV','V','VI','VII','VIII','IX','X','XI','XII'][month(d)] || '.' || year(d) ELSE CAST(year(d) AS VARCHAR) END AS written FROM sp)
+SELECT specimen_id, written AS "verbatimEventDate", CASE WHEN f = 3 THEN 'RANGE' WHEN f = 0 AND n <= 12 AND n <> m THEN 'AMBIGUOUS' ELSE 'DATE' END AS state, CASE WHEN f = 3 THEN written WHEN f = 0 AND n <= 12 AND n <> m THEN least(iso, turned) || '/' || greatest(iso, turned) ELSE iso END AS result FROM v""")
 def verbatim_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = checks.with_verbatim_dates(specimens(spark, sf_dir).select("specimen_id", "verbatimEventDate"))
     return df.select("specimen_id", "verbatimEventDate", "verbatimEventDate_parsed.*")
 
 
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 7 AS f, CAST(o_orderdate AS DATE) AS d, year(CAST(o_orderdate AS DATE)) AS y, strftime(CAST(o_orderdate AS DATE), '%m') AS m, strftime(CAST(o_orderdate AS DATE), '%d') AS n FROM orders),
+e AS (SELECT *, last_day(d) AS e, CAST(y || '-01-01' AS DATE) AS a, CAST(y || '-12-31' AS DATE) AS b FROM o)
+SELECT k, CASE f WHEN 0 THEN y || '-' || m || '-' || n WHEN 1 THEN CASE WHEN d = e THEN CAST(d AS VARCHAR) WHEN n = '01' THEN y || '-' || m ELSE CAST(d AS VARCHAR) || '/' || CAST(e AS VARCHAR) END WHEN 2 THEN '-' || y WHEN 3 THEN CAST(d AS VARCHAR) WHEN 4 THEN CASE WHEN m = '01' AND n = '01' THEN CAST(y AS VARCHAR) WHEN m = '12' AND n = '31' THEN CAST(d AS VARCHAR) WHEN m = '12' AND n = '01' THEN y || '-12' ELSE CAST(d AS VARCHAR) || '/' || CAST(b AS VARCHAR) END WHEN 6 THEN y || '/' || y + 1 END AS said,
+CASE f WHEN 0 THEN 86400 WHEN 1 THEN 86400 * (e - d + 1) WHEN 2 THEN 86400 * CASE WHEN y % 4 = 0 AND (y % 100 <> 0 OR y % 400 = 0) THEN 366 ELSE 365 END WHEN 3 THEN 86400 WHEN 4 THEN 86400 * (b - d + 1) WHEN 6 THEN 86400 * (CAST(y + 1 || '-12-31' AS DATE) - a + 1) END AS seconds FROM e""")
+def interval_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates and intervals in several forms, said as shortly as they can be, and how long they are."""
+    d = F.col("o_orderdate").cast("date")
+    end, year = F.last_day(d).cast("string"), F.year(d).cast("string")
+    forms = [F.date_format(d, "yyyyMMdd"), F.concat(d.cast("string"), F.lit("/"), F.substring(end, 9, 2)), F.concat(F.lit("-"), year), F.date_format(d, "yyyy-DDD"), F.concat(d.cast("string"), F.lit("/12-31")), F.concat(year, F.lit("-13")), F.concat(year, F.lit("/"), (F.year(d) + 1).cast("string"))]
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.get(F.array(*forms), (F.col("o_orderkey") % 7).cast("int")).alias("text"))
+    rows = rows.select("k", intervals.interval(F.col("text")).alias("i"))
+    return rows.select("k", intervals.to_text(F.col("i")).alias("said"), intervals.seconds(F.col("i")).alias("seconds"))
+
+
 @query(_SPECIMENS + " SELECT specimen_id, strftime(d, '%Y-%m-%d') AS found FROM sp")
 def label_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The date of a label text of several lines, its year hinted."""
     df = specimens(spark, sf_dir)
     d = F.col("truth_eventDate").cast("date")
     label = F.concat(F.lit("Herb. No 123\nleg. "), F.col("truth_recordedBy"), F.lit("\n"), F.date_format(d, "d MMMM yyyy"), F.lit(" det. 1801"))
-    return df.select("specimen_id", dates.best_label_date(label, F.year(d)).alias("found"))
+    years = F.array(F.year(d))
+    return df.select("specimen_id", labels.best(labels.candidates(label, years), years)["iso"].alias("found"))
 
 
 @query("SELECT page_id, CAST(length(html) AS BIGINT) AS n_chars, length(regexp_replace(html, '\\s+', '', 'g')) AS n_dense FROM pages")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voucherlens.operators import evaluation
+from voucherlens.operators import chunks, evaluation
 from voucherlens.plans.catalog import _PARTS, _SPECIMENS, query
-from voucherlens.plans.specimens import specimens
+from voucherlens.plans.specimens import specimens, table
 
 #: the fields whose scores SQL can state
 _FIELDS = {"eventDate": "date", "catalogNumber": "text"}
@@ -58,3 +58,39 @@ def evaluation_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, seen = evaluation.evaluate(_scored(spark, sf_dir), fields=list(_FIELDS))
     columns = ["n_specimens", "n_matched", "n_unmatched", "accuracy", "n_high", "n_middle", "n_low", "n_synonyms"]
     return spark.createDataFrame([tuple(round(seen[c], 6) if c == "accuracy" else seen[c] for c in columns)], ", ".join(f"{c} {'double' if c == 'accuracy' else 'long'}" for c in columns))
+
+
+#: a range such as 1998-00 ends before it begins and is none
+_LABELS = """WITH o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 8 = 0 AND (year(CAST(o_orderdate AS DATE)) + 1) % 100 < 2 THEN 6 ELSE o_orderkey % 8 END AS f, CAST(o_orderdate AS DATE) AS d, year(CAST(o_orderdate AS DATE)) AS y, month(CAST(o_orderdate AS DATE)) AS m, day(CAST(o_orderdate AS DATE)) AS n FROM orders)"""
+
+
+@query(_LABELS + """ SELECT k, CASE WHEN f = 0 THEN y - 1 || '-' || y + 1 || ' (range)' WHEN f IN (1, 2, 5, 7) THEN strftime(d, '%Y-%m-%d') WHEN f = 3 THEN CAST(y AS VARCHAR) WHEN f = 4 THEN strftime(d, '%Y-%m') WHEN f = 6 THEN NULL END AS value,
+CASE WHEN f = 0 THEN 'range' WHEN f IN (1, 2, 5, 7) THEN 'high' WHEN f = 3 THEN 'year' WHEN f = 4 THEN 'medium' END AS confidence,
+CASE WHEN f = 6 THEN 'no date pattern found on sheet — review manually' WHEN f IN (0, 3) THEN 'sheet supports GBIF — AI wrong' WHEN f IN (1, 4, 5, 7) THEN 'sheet supports GBIF — AI wrong' WHEN f = 2 THEN 'sheet supports AI — GBIF likely wrong' END AS verdict,
+CASE WHEN f = 2 THEN 1.0::DOUBLE END AS corrected FROM o""")
+def label_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates on labels in several forms, and whether they speak for the record or the transcription."""
+    from voucherlens.functions import labels
+
+    d = F.col("o_orderdate").cast("date")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), d.alias("d"), F.year(d).alias("y"), F.month(d).alias("m"), F.dayofmonth(d).alias("n"))
+    k, y, m, n = map(F.col, "kymn")
+    two = lambda c: F.lpad((c % 100).cast("string"), 2, "0")
+    iso, next_year = F.col("d").cast("string"), (y + 3).cast("string")
+    forms = [
+        F.concat(F.lit("Annis "), (y - 1).cast("string"), F.lit("-"), two(y + 1), F.lit(". No 1801-95")), F.concat(F.lit("leg. X "), n, F.lit("."), m, F.lit("."), two(y)), F.concat(F.lit("no 17, "), m, F.lit("/"), n, F.lit(" det. B")),
+        F.concat(F.lit("coll. 2 in "), y), F.concat(F.lit("Sommer "), F.date_format("d", "MMMM"), F.lit(" "), y), F.concat(F.lit("det. 3 III 1801, "), F.date_format("d", "MMM"), F.lit(". "), n, F.lit("th, "), y), F.lit("Herb. Kew no 44"), F.concat(n, F.lit(" "), F.date_format("d", "MMMM"), F.lit(", "), y, F.lit(" 1801-1803")),
+    ]
+    label = F.get(F.array(*forms), (k % 8).cast("int"))
+    truth = F.when(k % 8 == 2, next_year).otherwise(iso)
+    found = F.when(k % 8 == 2, iso).otherwise(next_year)
+    return rows.select("k", labels.resolve(truth, found, label).alias("v")).select("k", "v.value", "v.confidence", "v.verdict", "v.corrected")
+
+
+@query("""WITH RECURSIVE o AS (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS size, row_number() OVER (ORDER BY o_orderkey) AS i FROM orders), s AS MATERIALIZED (SELECT *, sum(size) OVER (ORDER BY i) AS total FROM o),
+c(chunk, first) AS (SELECT 0, 1 UNION ALL SELECT chunk + 1, (SELECT min(n.i) FROM s n WHERE n.i > c.first AND n.total > (SELECT b.total - b.size + 5000000 FROM s b WHERE b.i = c.first)) FROM c WHERE first IS NOT NULL)
+SELECT o_orderkey, CAST(max(chunk) AS BIGINT) AS chunk FROM s JOIN c ON c.first <= s.i GROUP BY o_orderkey""")
+def submission_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in order, cut into chunks of a budget."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.floor("o_totalprice").alias("size"))
+    return chunks.byte_chunks(rows, 5_000_000, order=("o_orderkey",)).select("o_orderkey", "chunk")
