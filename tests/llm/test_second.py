@@ -144,18 +144,18 @@ def test_lines_against_brute_force(spark):
     assert lines.dedup_lines(odd.limit(0)).collect() == []
 
 
-def lev_at_most_one(a, b):
+def one_edit(a, b):
     if abs(len(a) - len(b)) > 1:
         return False
     for i in range(min(len(a), len(b))):
         if a[i] != b[i]:
-            return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:]
+            return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
     return True
 
 
 def test_fuzzy_trie_against_brute_force():
     terms = ["abcab", "abcde*", "bca", "cabbac"]
-    trie = toxicity.FuzzyTrie(terms)
+    trie = toxicity.FuzzyTrie(terms, ordinary=frozenset(["abcad"]))
     for word in map("".join, itertools.chain(*[itertools.product("abcd", repeat=n) for n in range(1, 8)])):
         found = trie.walk(word)
         hits = []
@@ -164,11 +164,41 @@ def test_fuzzy_trie_against_brute_force():
             ends = [word[:n] for n in range(1, len(word) + 1)] if stem else [word]
             if bare in ends:
                 hits.append(0)
-            elif len(bare) >= 5 and any(lev_at_most_one(e, bare) and e[:1] == bare[:1] for e in ends):
+            elif len(bare) >= 4 and word != "abcad" and any(one_edit(e, bare) for e in ends):
                 hits.append(1)
         assert (found and found[0]) == (min(hits) if hits else None), (word, found, hits)
 
 
+def misspelt(word, way, r):
+    i = r.randrange(1, len(word) - 1)
+    digits = {"o": "0", "i": "1", "e": "3", "a": "@", "s": "$", "t": "7"}
+    if way == "sign":
+        at = [j for j, c in enumerate(word) if c in digits]
+        return word if not at else word[: at[0]] + digits[word[at[0]]] + word[at[0] + 1 :]
+    return {"other": word[:i] + "q" + word[i + 1 :], "more": word[:i] + "j" + word[i:], "less": word[:i] + word[i + 1 :], "over": word[: i - 1] + word[i] + word[i - 1] + word[i + 1 :], "first": "q" + word[1:]}[way]
+
+
+def test_planted_misspellings_are_caught(spark):
+    """On the given tables: clean held-out documents with misspelt terms planted are caught, and left alone without."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    terms, weights = toxicity.learn(docs, labels)
+    assert (weights[1:2] > 0).all() and (weights[-1:] > 0).all()
+    toxic = {x.doc_id for x in labels.where("toxic = 1").collect()}
+    marked = {x.doc_id for x in labels.collect()} - toxic
+    clean = [x.text for x in docs.where("text is not null and length(text) < 2000").orderBy("doc_id").collect() if x.doc_id in marked]
+    whole = [t.rstrip("*") for t in terms.terms if len(t) >= 5 and t.isalpha()] or [t.rstrip("*") for t in terms.terms]
+    r, trie, memo = random.Random(2), terms.trie(), {}
+    score = lambda text: 1 / (1 + np.exp(-(weights[0] + np.array(toxicity.features(text, trie, memo)) @ weights[1:])))
+    caught, tried = 0, 0
+    for n, text in enumerate(clean[:120]):
+        planted = text.split(" ")[:40]
+        for k in range(4):
+            planted.insert(r.randrange(len(planted) + 1), misspelt(r.choice(whole), ["other", "more", "less", "over", "sign", "first"][(n + k) % 6], r))
+        caught += score("you " + " ".join(planted)) >= 0.5
+        tried += 1
+    assert tried >= 30 and caught >= 0.9 * tried and sum(score(x) < 0.5 for x in clean) >= 0.98 * len(clean)
+
+
 def test_toxicity_learns_quotes_and_misspellings(spark):
     r = random.Random(8)
     say = lambda n: " ".join(r.choice(["tree", "water", "stone", "cloud", "river", "green", "light", "table"]) for _ in range(n))
@@ -177,17 +207,17 @@ def test_toxicity_learns_quotes_and_misspellings(spark):
     labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(500)], "doc_id long, toxic int")
     docs = spark.createDataFrame(rows, DOCS)
     terms, weights = toxicity.learn(docs, labels)
-    assert set(bad) <= {t.rstrip("*") for t in terms} | {"glorbish"} and weights[1] > 0
+    assert set(bad) <= {t.rstrip("*") for t in terms.terms} | {"glorbish"} and weights[1] > 0
     extra = spark.createDataFrame([(9000, None, "en", "k", "s"), (9001, "", "en", "k", "s"), (None, "you glorbish", "en", "k", "s"), (9002, "you glorbbish zantole merkwadd glorbish", "en", "k", "s")], DOCS)
     got = {x.doc_id: x for x in toxicity.score(docs.union(extra), terms, weights).collect()}
     assert all(got[i].predicted == int(i % 5 == 0) for i in range(600)) and got[9000].predicted == 0 and got[9001].predicted == 0 and got[9002].predicted == 1
-    assert got[None].held_out is False and got[9002].misspelt > 0
-    quoted = toxicity.features('he wrote "glorbish" there', toxicity.FuzzyTrie(terms), {})
-    assert quoted[2] > 0 and quoted[0] == 0
+    assert got[None].held_out is False and got[9002].hits > np.log1p(1)
+    quoted = toxicity.features('he wrote "glorbish" there', terms.trie(), {})
+    assert quoted[1] > 0 and quoted[0] == 0
     kept = toxicity.filter_toxic(docs.union(extra), terms, weights)
     assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} >= {9000, 9001, 1} and kept.where("doc_id % 5 = 0 and doc_id < 600").count() == 0
     none, w = toxicity.learn(docs, labels.limit(0))
-    assert none == [] and toxicity.score(docs.limit(3), none, w).count() == 3
+    assert none.terms == [] and toxicity.score(docs.limit(3), none, w).count() == 3
 
 
 def brute_kneser_ney(grams, floor):
