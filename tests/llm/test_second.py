@@ -308,6 +308,18 @@ def test_surrogates(spark):
     assert [x.text for x in pii.pseudonymise(df, "other").collect()] != got
 
 
+def test_names_of_every_script_are_replaced(spark):
+    names = ["Παπαδόπουλος", "Ōe", "Łukasiewicz", "Đặng", "Յակոբյան", "Ĳsbrand", "Škvorecký", "Ђорђевић", "Ѓорѓиевски", "Öğuz", "Ὀδυσσεύς", "Ŵyn", "Xu", "Iñárritu", "Ángel", "O'Æ"]
+    rows = [(i, f"Yesterday Mr {n} said hello; so did Mrs Jane {n}.") for i, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x for x in pii.pseudonymise(df, "key", counts=True, check=True).collect()}
+    for i, n in enumerate(names):
+        assert n not in got[i].text and got[i].n_entities == 2 and got[i].text.startswith("Yesterday Mr "), got[i]
+        a, b = re.search(r"Mr (\S+) said", got[i].text)[1], re.search(r"Mrs \S+ (\S+)\.", got[i].text)[1]
+        assert a == b and len(a) == len(n) and a[0].isupper()
+    assert pii.collisions(df, "key").collect() == []
+
+
 def test_surrogates_are_a_permutation_in_brute_force(spark):
     """All strings of a small format: each has its own surrogate, none keeps its own, formats and check digits hold."""
     key, r = "key", random.Random(7)

@@ -13,7 +13,9 @@ where they lie: no row meets another.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +25,7 @@ from voucherlens.llm.common import column_name
 # Titles, alphabets of a format (a character stays within its own), country calling codes of one or two digits.
 _TITLES = "Mrs Ms Miss Madame Mme Frau Señora Sra Doña госпожа Госпожа Mr Mister Monsieur Herr Señor Sr Don господин Господин Dr Prof".split()
 _DIGITS, _LETTERS, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "abcdef"
-_VOWELS, _CONSONANTS = ["aeiouy", "àáâäãåèéêëìíîïòóôöõùúûü", "аеёиоуыэюя"], ["bcdfghjklmnpqrstvwxz", "çñßšžčć", "бвгджзйклмнпрстфхцчшщ"]
+_VOWELS, _CONSONANTS = ["aeiouy", "àáâäãåèéêëìíîïòóôöõùúûü", "аеёиоуыэюя"], ["bcdfghjklmnpqrstvwxz", "çñšžčć", "бвгджзйклмнпрстфхцчшщ"]
 _CALLING = r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 
 _TITLE = "|".join(_TITLES)
@@ -90,16 +92,35 @@ def _styles(style: Column) -> Column:
     return out
 
 
+@lru_cache(maxsize=1)
+def _blocks() -> str:
+    """Letters of every script by blocks of 64 codes, as "block:letters,…": the alphabets of letters that no style lists.
+
+    Of letters with a case the small ones, if the capital is one letter that leads back; a block has two at least.
+    """
+    listed = set("".join(_VOWELS + _CONSONANTS) + _LETTERS)
+    found: dict[int, str] = {}
+    for code in range(0x80, 0x10000):
+        c = chr(code)
+        if unicodedata.category(c) in ("Ll", "Lo") and c not in listed and (c.upper() == c or (len(c.upper()) == 1 and c.upper().lower() == c)):
+            found[code // 64] = found.get(code // 64, "") + c
+    return ",".join(f"{block}:{letters}" for block, letters in found.items() if len(letters) > 1)
+
+
 def permuted(text: Column, key: str, tweak: Column, style: Column) -> Column:
     """`text` under a keyed permutation of the strings of its format, none of which stays as it is.
 
-    A character of the style's alphabets goes to one of its own alphabet and letter case; others stay. Four Feistel rounds,
-    the first letter moved on by one, and the rounds undone: a permutation like the move, so without a fixed point.
+    A character of the style's alphabets goes to one of its own alphabet and letter case; in names a letter of any other
+    script goes to one of its block; others stay. Four Feistel rounds, the first letter moved on by one, and the rounds
+    undone: a permutation like the move, so without a fixed point. A name with no letter to move becomes a keyed word.
     """
-    of = lambda c, lists: F.get(F.filter(lists, lambda a: (c != "") & (F.instr(a, F.lower(c)) > 0)), F.lit(0))
+    block = lambda c: F.try_element_at(F.str_to_map(F.lit(_blocks()), F.lit(","), F.lit(":")), F.floor(F.ascii(F.lower(c)) / 64).cast("string"))
+    other = lambda c: F.when((style == "name") & c.rlike(r"[^\x00-\x7F]"), _let(block(c), lambda a: F.when(F.instr(a, F.lower(c)) > 0, a)))
+    of = lambda c, lists: F.coalesce(F.get(F.filter(lists, lambda a: (c != "") & (F.instr(a, F.lower(c)) > 0)), F.lit(0)), other(c))
+    word = F.initcap(F.translate(F.substring(F.sha2(F.concat(F.lit(f"{key}|"), tweak, F.lit("|"), text), 256), 1, 16), _DIGITS, "ghijklmnop"))
     chars = _let(_styles(style), lambda lists: F.transform(F.split(text, ""), lambda c: F.struct(c.alias("c"), of(c, lists).alias("of"))))
     own = lambda all_: F.transform(F.filter(all_, lambda x: x["of"].isNotNull()), lambda x: F.struct(x["of"].alias("of"), (F.instr(x["of"], F.lower(x["c"])) - 1).alias("at"), F.length(x["of"]).alias("many")))
-    return _let(chars, lambda all_: _let(own(all_), lambda mine: F.when(F.size(mine) == 0, text).otherwise(_let(_moved(mine, key, tweak), lambda new: _spelt(all_, new)))))
+    return _let(chars, lambda all_: _let(own(all_), lambda mine: F.when(F.size(mine) == 0, F.when((style == "name") & (text != ""), word).otherwise(text)).otherwise(_let(_moved(mine, key, tweak), lambda new: _spelt(all_, new)))))
 
 
 def _moved(own: Column, key: str, tweak: Column) -> Column:
@@ -212,7 +233,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts: bool
     clean texts are unchanged, and each row is rewritten by itself. `check` holds all distinct entities of the corpus
     against each other first and raises an error if two share a surrogate.
     """
-    if check and (bad := collisions(docs, key, text_col).first()) is not None:
+    if check and (bad := collisions(docs, key, text_col).where("many > 1").first()) is not None:
         raise RuntimeError(f"surrogates collide for a {bad.kind}")
     found, new = column_name(docs, "pii_found"), column_name(docs, "pii_new")
     kinds = lambda: F.transform(found, lambda x: kind(x))
