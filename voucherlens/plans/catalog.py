@@ -95,11 +95,11 @@ def catalog_number_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def token_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The greedy pairing of all words of each specimen's true and found collectors; tests hold it against brute force."""
+    """The greedy pairing of all words of each specimen's true and found name, place and collector; tests hold it against brute force."""
     df = specimens(spark, sf_dir)
-    words = lambda c: text.collector_words(text.clean_text(F.col(c)))
-    rows = df.select("specimen_id", words("truth_recordedBy").alias("a"), words("recordedBy").alias("b"))
-    return rows.select("specimen_id", F.round(text.token_pair_cer(F.col("a"), F.col("b")), 6).alias("similarity"))
+    words = lambda prefix: text.geo_words(F.translate(F.concat_ws(" ", *[F.col(f"{prefix}{c}") for c in ("scientificName", "locality", "recordedBy")]), "_#", "  "))
+    rows = df.select("specimen_id", words("truth_").alias("a"), words("").alias("b"))
+    return rows.select("specimen_id", "a", "b", F.round(text.token_pair_cer(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
 #: Tests whose outcome SQL states: status and result of each specimen.

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from voucherlens.operators import chunks, evaluation
 from voucherlens.plans.catalog import _PARTS, _SPECIMENS, query
 from voucherlens.plans.specimens import specimens, table
+from voucherlens.streaming import ledger
 
 #: the fields whose scores SQL can state
 _FIELDS = {"eventDate": "date", "catalogNumber": "text"}
@@ -94,3 +95,15 @@ def submission_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders in order, cut into chunks of a budget."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.floor("o_totalprice").alias("size"))
     return chunks.byte_chunks(rows, 5_000_000, order=("o_orderkey",)).select("o_orderkey", "chunk")
+
+
+@query("""WITH e AS (SELECT event_id, user_id AS stem, CASE event_type WHEN 'purchase' THEN 'answered' WHEN 'click' THEN 'failed' ELSE 'submitted' END AS kind, 'j' || event_id // 7 AS job, ts, value FROM events),
+p AS (SELECT stem, min({'ts': ts, 'event_id': event_id, 'job': job, 'cost': value}) AS paid FROM e WHERE kind = 'answered' GROUP BY stem),
+b AS (SELECT e.*, p.paid FROM e LEFT JOIN p ON p.stem = e.stem WHERE p.paid IS NULL OR (e.ts, e.event_id) <= (p.paid.ts, p.paid.event_id)),
+s AS (SELECT stem, any_value(paid) AS paid, count(DISTINCT CASE WHEN kind = 'submitted' THEN job END) AS attempts, arg_max(kind, {'ts': ts, 'event_id': event_id}) AS last, arg_max(job, {'ts': ts, 'event_id': event_id}) FILTER (kind = 'submitted') AS job FROM b GROUP BY stem)
+SELECT CAST(stem AS VARCHAR) AS stem, CASE WHEN paid IS NOT NULL THEN 'done' ELSE last END AS status, attempts, CASE WHEN paid IS NOT NULL THEN paid.job ELSE job END AS job, CASE WHEN paid IS NOT NULL THEN paid.cost ELSE 0.0 END AS cost FROM s""")
+def job_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each user's jobs, as the stream of the ledger would have it in the end."""
+    kind = F.when(F.col("event_type") == "purchase", "answered").when(F.col("event_type") == "click", "failed").otherwise("submitted")
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("string").alias("stem"), F.lit("m").alias("model"), kind.alias("kind"), F.concat(F.lit("j"), F.floor(F.col("event_id") / 7)).alias("job"), F.col("value").alias("cost"), F.lit(None).cast("string").alias("error"), "ts")
+    return ledger.settled(rows).select("stem", "status", "attempts", "job", "cost")
