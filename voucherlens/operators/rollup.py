@@ -42,10 +42,12 @@ def failed_extraction(fields: list[str]) -> Column:
 
 
 def cost(df: DataFrame, prices: DataFrame) -> DataFrame:
-    """`df` (model, tokens_in, tokens_out, is_batch, is_local) with cost_usd; batches cost half, local models nothing, unpriced ones null."""
+    """`df` (model, tokens_in, tokens_out, is_batch, is_local) with cost_usd; batches cost half, local models nothing. A model without a price is an error."""
     rows = df.join(prices, "model", "left")
     usd = (F.col("tokens_in") * F.col("in_per_m") + F.col("tokens_out") * F.col("out_per_m")) / 1e6 * F.when(F.col("is_batch"), 0.5).otherwise(1.0)
-    return rows.withColumn("cost_usd", F.when(F.col("is_local"), 0.0).otherwise(F.round(usd, 6))).drop("in_per_m", "out_per_m")
+    unpriced = F.raise_error(F.concat(F.lit("no price for model "), F.coalesce("model", F.lit("null")))).cast("double")
+    priced = F.when(F.col("in_per_m").isNull() | F.col("out_per_m").isNull(), unpriced).otherwise(F.round(usd, 6))
+    return rows.withColumn("cost_usd", F.when(F.col("is_local"), 0.0).otherwise(priced)).drop("in_per_m", "out_per_m")
 
 
 def model_summary(runs: DataFrame) -> DataFrame:
@@ -59,6 +61,11 @@ def model_summary(runs: DataFrame) -> DataFrame:
     )
 
 
+def ranked(models: DataFrame) -> DataFrame:
+    """Models by falling accuracy, those without one last."""
+    return models.orderBy(F.desc_nulls_last("accuracy"), "model")
+
+
 def pareto(models: DataFrame, cost_col: str = "cost_per_1000", score_col: str = "accuracy") -> DataFrame:
     """Models that no cheaper one equals: strictly above the best score so far, by rising cost. One row a model, so one task will do."""
     before = Window.orderBy(cost_col, score_col).rowsBetween(Window.unboundedPreceding, -1)

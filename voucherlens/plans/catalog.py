@@ -152,7 +152,12 @@ def measure_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _all_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All tests, with borders, backbone and parsed verbatim dates joined on."""
+    """All tests' outcomes, a row each."""
+    return checks.evaluate(_test_ready(spark, sf_dir), "specimen_id", TODAY)
+
+
+def _test_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Specimens with borders, backbone and parsed verbatim dates joined on."""
     df = checks.with_verbatim_dates(checks.prepare(specimens(spark, sf_dir)))
     lines = borders(spark)
     df = lookups.country_codes(df, "country", lines)
@@ -160,8 +165,7 @@ def _all_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = df.join(spots, "specimen_id", "left")
     names = backbone(df)
     df = lookups.match_names(df, "scientificName", names, "name_match", "name", cleaned=True)
-    df = lookups.match_names(df, "genus", names, "genus_match", "genus")
-    return checks.evaluate(df, "specimen_id", TODAY)
+    return lookups.match_names(df, "genus", names, "genus_match", "genus")
 
 
 @query()
@@ -181,7 +185,7 @@ def quality_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def quality_by_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.by_test(_all_checks(spark, sf_dir))
+    return checks.tally(_test_ready(spark, sf_dir), TODAY)
 
 
 @query(_SPECIMENS + """, g AS (SELECT specimen_id, tlon, tlat, CAST(floor((tlon + 180) / 72) AS INTEGER) AS i, CAST(least(floor((tlat + 90) / 36), 4) AS INTEGER) AS j FROM sp)

@@ -31,6 +31,7 @@ ALIASES = {
     "altitude_m": "minimumElevationInMeters", "elevation": "minimumElevationInMeters",
 }
 IMAGE_TYPES = ["jpg", "jpeg", "png", "tif", "tiff", "bmp", "webp"]
+BORDER_NAMES = ["NAME", "NAME_LONG", "ADMIN", "FORMAL_EN", "NAME_SORT"]
 RENAMED = {"collectedBy": "recordedBy", "collectionDate": "eventDate"}
 
 
@@ -131,7 +132,8 @@ def core_columns(df: DataFrame, core: str = "core") -> DataFrame:
 
     def value(name: str) -> Column:
         names = [name, *[a for a, c in ALIASES.items() if c == name]]
-        found = F.coalesce(*[F.try_element_at(core, F.lit(n)) for n in reversed(names)])
+        # of several names of one field the record's last decides
+        found = F.get(F.reverse(F.map_values(F.map_filter(core, lambda k, _: k.isin(names)))), 0) if len(names) > 1 else F.try_element_at(core, F.lit(name))
         return F.when(F.lower(F.trim(found)).isin(EXTRACT_NULLS), "").otherwise(F.coalesce(F.trim(found), F.lit("")))
 
     out = df.select("*", *[value(c).alias(c) for c in CORE])
@@ -151,10 +153,8 @@ def read_image_list(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_ids(df: DataFrame, line: str) -> DataFrame:
     """(id, pos): occurrence ids of lines in the order of first mention: bare numbers, or links anywhere in a line. `df`: pos and the line."""
-    # what follows the path part of an occurrence page, as far as it is a number, in the words that name the service
-    words = F.filter(F.split(F.lower(line), r"[\s,;\"'<>()]+"), lambda w: w.contains("gbif.org/"))
-    after = F.flatten(F.transform(words, lambda w: F.slice(F.split(w, "/occurrence/"), 2, 1_000)))
-    links = F.filter(F.transform(after, lambda x: F.regexp_extract(x, r"^\d+", 0)), lambda x: x != "")
+    # links have one path part and a version at most before the occurrence
+    links = F.regexp_extract_all(F.lower(line), F.lit(r"gbif\.org/(?:[\w-]+/)?(?:v1/)?occurrence/(\d+)"), 1)
     ids = F.when(F.trim(line).rlike(r"^\d+$"), F.array(F.trim(line))).otherwise(links)
     rows = df.select("pos", F.posexplode(ids).alias("inner", "id"))
     return rows.groupBy("id").agg(F.min(F.struct("pos", "inner")).alias("first")).orderBy("first").select("id", "first.pos")
@@ -186,6 +186,23 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("annotation_id", F.when(F.col("e").isNull(), F.col("entry")).otherwise(F.col("e.transcription")).alias("transcription"), F.col("e.fields").alias("fields"))
 
 
+def read_borders(spark: SparkSession, path: str) -> DataFrame:
+    """(feature_pos, iso_a2, names, rings) of a JSON array of features {g: Polygon or MultiPolygon, p: properties}, packed or not.
+
+    All rings of a feature stand together, holes and the parts on either side of the antimeridian among them: a point is
+    inside if it lies within an odd number. The code is ISO_A2_EH, else ISO_A2; names are in small letters.
+    """
+    props = "ISO_A2_EH string, ISO_A2 string, " + ", ".join(f"{n} string" for n in BORDER_NAMES)
+    raw = spark.read.option("multiLine", True).schema(f"g string, p struct<{props.replace(' string', ':string')}>").json(path)
+    ring = "array<array<double>>"
+    kind, parts = F.get_json_object("g", "$.type"), F.get_json_object("g", "$.coordinates")
+    rings = F.when(kind == "Polygon", F.from_json(parts, f"array<{ring}>")).when(kind == "MultiPolygon", F.flatten(F.from_json(parts, f"array<array<{ring}>>")))
+    points = F.transform(rings, lambda r: F.transform(r, lambda x: F.struct(F.get(x, 0).alias("lon"), F.get(x, 1).alias("lat"))))
+    names = F.array_distinct(F.array_compact(F.array(*[F.nullif(F.lower(F.trim(f"p.{n}")), F.lit("")) for n in BORDER_NAMES])))
+    rows = raw.where(rings.isNotNull()).select(F.monotonically_increasing_id().alias("feature_pos"), F.coalesce(F.nullif("p.ISO_A2_EH", F.lit("")), "p.ISO_A2").alias("iso_a2"), names.alias("names"), points.alias("rings"))
+    return rows
+
+
 def settings(path: str | None, given: dict, defaults: dict) -> dict:
     """Settings: given ones, else those of a TOML file, else defaults; a flag can only be switched on by the giver."""
     found: dict = {}
@@ -200,13 +217,22 @@ def settings(path: str | None, given: dict, defaults: dict) -> dict:
     return out
 
 
+def is_id_list(spark: SparkSession, path: str) -> bool:
+    """Whether a text list names occurrences: its first line that says something is a number or a link to one."""
+    said = spark.read.text(path).where((F.trim("value") != "") & ~F.trim("value").startswith("#")).limit(1)
+    return not said.where(F.trim("value").rlike(r"^\d+$") | F.lower("value").rlike(r"gbif\.org/(?:[\w-]+/)?(?:v1/)?occurrence/\d+")).isEmpty()
+
+
 def read_input(spark: SparkSession, path: str) -> DataFrame:
-    """Transcriptions, images or a list, by a path's ending."""
+    """Transcriptions, images, a list of images or one of occurrence ids, by a path's ending and a list's first line."""
     low = path.lower()
     if low.endswith((".xlsx", ".xlsm")):
         return read_workbook(spark, path)
     if low.endswith((".csv", ".tsv")):
         return read_delimited(spark, path)
+    if low.endswith(".txt") and is_id_list(spark, path):
+        lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
+        return parse_ids(lines, "line")
     if low.endswith(".txt"):
         return read_image_list(spark, path)
     if low.endswith(".json"):
