@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from voucherlens.functions import dates, geo, text, verbatim
 from voucherlens.operators import checks, lookups, rollup, scoring
+from voucherlens.plans import catalog
 from voucherlens.sources import readers, sinks
 from voucherlens.streaming import windows
 
@@ -55,6 +56,12 @@ def test_token_pairing_against_brute_force(spark, free_truth, by_truth):
     assert [x[0] for x in got] == pytest.approx([pair_score(t, e, free_truth, by_truth) for t, e in rows])
 
 
+def test_query_of_token_pairs_against_brute_force(spark):
+    rows = catalog.token_pairing(spark, "/root/testdata/sf0.001").collect()
+    assert all(x.similarity == pytest.approx(pair_score(x.a, x.b, False, False), abs=1e-6) for x in rows)
+    assert len(rows) == 1500 and max(len(x.a) for x in rows) >= 6 and len({x.similarity for x in rows}) > 50
+
+
 def test_clean_text(spark):
     rows = [(" N/A ",), (None,), ("",), ("Ca\u0301fé  STRAßE",), ("CafÃ© ",), ("Иванов",), ("Ελλάς",), ("北京",)]
     got = [x[0] for x in values(spark, rows, "x string", text.clean_text(F.col("x")))]
