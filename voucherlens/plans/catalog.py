@@ -221,7 +221,10 @@ def trimmed_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("collector", "t.low", "t.high")
 
 
-@query()
+@query("""WITH o AS (SELECT o.o_orderkey AS specimen_id, c.c_name AS collector, n.n_name AS country, CAST(year(CAST(o.o_orderdate AS DATE)) AS INTEGER) AS year FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey),
+t AS (SELECT collector, count(*) AS total, list(year ORDER BY year) AS ys FROM o GROUP BY collector), cc AS (SELECT collector, country, count(*) AS n FROM o GROUP BY collector, country),
+r AS (SELECT collector, total, ys[1 + CAST(floor(0.05 * (len(ys) - 1)) AS INTEGER)] AS low, ys[1 + CAST(floor(0.95 * (len(ys) - 1)) AS INTEGER)] AS high FROM t)
+SELECT o.collector, o.specimen_id, o.country, o.year, r.total, CASE WHEN r.total < 5 THEN 'unknown' WHEN o.year < low - 5 OR o.year > high + 5 THEN 'year' ELSE 'ok' END AS verdict, cc.n AS in_country FROM o JOIN r ON r.collector = o.collector JOIN cc ON cc.collector = o.collector AND cc.country = o.country""")
 def collector_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = specimens(spark, sf_dir).select("specimen_id", F.col("truth_recordedBy").alias("collector"), F.col("truth_country").alias("country"), F.year(F.col("truth_eventDate").cast("date")).alias("year"))
     return rollup.collector_verdicts(df, rollup.collector_profiles(_occurrences(spark, sf_dir)), min_records=5)
