@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,24 +50,27 @@ def merged_in_order(boxes: list[tuple[int, int, int, int]], overlap: float = OVE
 
     The first box takes in later ones as it grows, then the second, and again from the start until nothing changes.
     """
-    left = [(b, [i]) for i, b in enumerate(boxes)]
-    while True:
+    left = [(*b, (b[2] - b[0]) * (b[3] - b[1]), [i]) for i, b in enumerate(boxes)]
+    changed = True
+    while changed:
         changed, i = False, 0
         while i < len(left):
+            a1, b1, a2, b2, size, own = left[i]
             j = i + 1
             while j < len(left):
-                (a, own), (b, theirs) = left[i], left[j]
-                wide, high = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-                least = min((x[2] - x[0]) * (x[3] - x[1]) for x in (a, b))
-                if wide > 0 and high > 0 and wide * high >= overlap * least:
-                    left[i] = (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])), own + theirs
+                c1, d1, c2, d2, other, theirs = left[j]
+                wide = (a2 if a2 < c2 else c2) - (a1 if a1 > c1 else c1)
+                high = (b2 if b2 < d2 else d2) - (b1 if b1 > d1 else d1)
+                if wide > 0 and high > 0 and wide * high >= overlap * (size if size < other else other):
+                    a1, b1, a2, b2, own = min(a1, c1), min(b1, d1), max(a2, c2), max(b2, d2), own + theirs
+                    size = (a2 - a1) * (b2 - b1)
+                    left[i] = (a1, b1, a2, b2, size, own)
                     del left[j]
                     changed = True
                 else:
                     j += 1
             i += 1
-        if not changed:
-            return left
+    return [(x[:4], x[5]) for x in left]
 
 
 def _clusters(boxes: DataFrame, cell: int, max_rounds: int) -> DataFrame:
@@ -94,24 +99,75 @@ def _clusters(boxes: DataFrame, cell: int, max_rounds: int) -> DataFrame:
     raise RuntimeError(f"boxes still met after {max_rounds} rounds")
 
 
-def merge_boxes(boxes: DataFrame, overlap: float = OVERLAP, cell: int = 512, max_rounds: int = 100) -> DataFrame:
+def _merged(overlap: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's boxes, ordered by image, cls, cluster and pos, with those of a cluster merged: many clusters at a time, the last of a batch kept until its end is seen."""
+    sides = ("x1", "y1", "x2", "y2")
+
+    def merge(table: pa.Table) -> pa.RecordBatch:
+        columns = [table.column(c).to_numpy() for c in sides]
+        starts = np.concatenate([[0], _changes(table) + 1])
+        sizes = np.diff(np.concatenate([starts, [table.num_rows]]))
+        # a box alone stays as it is
+        keep, members = [starts[sizes == 1]], [np.ones(int((sizes == 1).sum()), "int64")]
+        boxes, firsts, counts, merged = list(zip(*[c.tolist() for c in columns], strict=True)), [], [], []
+        for a, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+            for box, own in merged_in_order(boxes[a : a + n], overlap):
+                firsts.append(a + min(own))
+                counts.append(len(own))
+                merged.append(box)
+        at = np.concatenate([*keep, np.array(firsts, "int64")])
+        grown = np.array(merged, "int64").reshape(-1, 4)
+        out = {c: np.concatenate([x[keep[0]], grown[:, i]]) for i, (c, x) in enumerate(zip(sides, columns, strict=True))}
+        head = table.select(["image", "cls", "pos"]).take(pa.array(at)).combine_chunks()
+        return pa.RecordBatch.from_arrays([*(pa.concat_arrays(head.column(c).chunks) for c in ("image", "cls", "pos")), pa.array(np.concatenate([*members, np.array(counts, "int64")])), *map(pa.array, out.values())], names=["image", "cls", "pos", "members", *sides])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            table = pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), batch] if held else [batch])
+            ends = _changes(table)
+            if len(ends) == 0:
+                held.append(batch)
+                continue
+            # rows of this batch that belong to clusters whose end is seen
+            n = int(ends[-1]) + 1 - (1 if held else 0)
+            yield merge(pa.Table.from_batches([*held, batch.slice(0, n)]))
+            held = [batch.slice(n)]
+        if held:
+            yield merge(pa.Table.from_batches(held))
+
+    return run
+
+
+def _changes(table: pa.Table) -> np.ndarray:
+    """Places of rows that the next row's image, class or cluster differs from."""
+    n = table.num_rows
+    new = np.zeros(max(n - 1, 0), bool)
+    for c in ("image", "cls", "cluster"):
+        column = table.column(c)
+        new |= pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy() if n > 1 else False
+    return np.flatnonzero(new)
+
+
+def merge_boxes(boxes: DataFrame, overlap: float = OVERLAP, cell: int = 512, max_rounds: int = 100, few: int = 64) -> DataFrame:
     """(image, cls, pos, members, x1, y1, x2, y2) of (image, cls, pos, x1, y1, x2, y2) boxes: detections of one label made one box.
 
-    Within an image and class, by `merged_in_order` in the order of `pos` (distinct there). Only boxes that some growing
-    box can reach are held against each other: an image's boxes fall into clusters first, over a grid, and a task gets
-    one cluster. pos is the first member's, members how many there were. Boxes without area stay as they are; rows with a
-    null go. Empty in, empty out.
+    Within an image and class, by `merged_in_order` in the order of `pos` (distinct there). Up to `few` boxes of an image
+    and class are held against each other as they are. Where there are more, only boxes that some growing box can reach
+    are: they fall into clusters first, over a grid. A task goes through many images or clusters, one at a time. pos is
+    the first member's, members how many there were. Boxes without area stay as they are; rows with a null go. Empty in,
+    empty out.
     """
     rows = boxes.select("image", "cls", *[F.col(c).cast("long").alias(c) for c in ("pos", "x1", "y1", "x2", "y2")]).dropna()
-    groups = rows.join(_clusters(rows, cell, max_rounds), ["image", "cls", "pos"])
     kinds = dict(rows.dtypes)
     schema = f"image {kinds['image']}, cls {kinds['cls']}, pos long, members long, x1 long, y1 long, x2 long, y2 long"
-
-    def merge(table: pa.Table) -> pa.Table:
-        table = table.sort_by("pos")
-        place, image, cls = table.column("pos").to_pylist(), table.column("image")[0], table.column("cls")[0]
-        done = merged_in_order(list(zip(*[table.column(c).to_pylist() for c in ("x1", "y1", "x2", "y2")], strict=True)), overlap)
-        sides = {c: [b[i] for b, _ in done] for i, c in enumerate(("x1", "y1", "x2", "y2"))}
-        return pa.table({"image": [image.as_py()] * len(done), "cls": [cls.as_py()] * len(done), "pos": [place[min(m)] for _, m in done], "members": [len(m) for _, m in done], **sides}, schema=pa.schema([("image", image.type), ("cls", cls.type), *[(c, pa.int64()) for c in ("pos", "members", *sides)]]))
-
-    return groups.groupBy("image", "cls", "cluster").applyInArrow(merge, schema)
+    many = written(rows.groupBy("image", "cls").count().where(F.col("count") > few).select("image", "cls"), "crowded")
+    groups = rows.withColumn("cluster", F.lit(0).cast("long"))
+    if not many.isEmpty():
+        crowded = written(rows.join(many, ["image", "cls"], "left_semi"), "boxes")
+        groups = rows.join(many, ["image", "cls"], "left_anti").withColumn("cluster", F.lit(0).cast("long"))
+        groups = groups.unionByName(crowded.join(_clusters(crowded, cell, max_rounds), ["image", "cls", "pos"]))
+    dealt = groups.select("image", "cls", "cluster", "pos", "x1", "y1", "x2", "y2").repartition("image", "cls", "cluster").sortWithinPartitions("image", "cls", "cluster", "pos")
+    return dealt.mapInArrow(_merged(overlap), schema)
