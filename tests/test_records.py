@@ -359,3 +359,19 @@ def test_places_against_brute_force(spark):
         if said:
             assert [float(t.split("=")[1]) for t in said.split("; ")] == pytest.approx(better)
     assert 1500 not in found and 1501 not in found
+
+
+def test_month_words_share_their_beginnings():
+    """The pattern of month words reads what the plain alternative of them reads, and no two of its ways begin alike."""
+    import re
+
+    from voucherlens.functions import labels
+
+    words = sorted(labels._NAMES, key=len, reverse=True)
+    assert re.fullmatch(labels._choice(["sept", "sep", "se", "mai"]), "sep") and labels._choice(["sept", "sep", "mai"]) == "s(?:e(?:p(?:t|)))|mai"
+    plain, shared = re.compile(rf"({'|'.join(words)})\.?,?\s*\d"), re.compile(rf"({labels._MONTH})\.?,?\s*\d")
+    for w in words:
+        for said in (f"{w} 12", f"{w}. 1", f"{w}x 3", f"{w[:-1]} 4", f"no {w}12"):
+            a, b = plain.search(said), shared.search(said)
+            assert (a and a.groups()) == (b and b.groups())
+    assert len({x[:1] for x in words}) > 10

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,7 +20,18 @@ FOR_FOUND, FOR_TRUTH = "sheet supports AI — GBIF likely wrong", "sheet support
 FOR_BOTH, FOR_NONE, NO_DATE = "sheet confirms both AI and GBIF", "sheet agrees with neither / inconclusive", "no date pattern found on sheet — review manually"
 
 _NAMES = {name: n for n, names in MONTHS.items() for name in names.split()}
-_MONTH = "|".join(sorted(_NAMES, key=len, reverse=True))
+
+
+def _choice(words: list[str]) -> str:
+    """An alternative of words in their order, what they begin with stated once: at most places of a text one letter decides. A word comes after those it begins."""
+    firsts: dict[str, list[str]] = {}
+    for w in words:
+        firsts.setdefault(w[:1], []).append(w[1:])
+    last = "|" if firsts.pop("", None) else ""
+    return "|".join(re.escape(a) + (rest[0] if len(rest) == 1 else f"(?:{_choice(rest)})") for a, rest in firsts.items()) + last
+
+
+_MONTH = _choice(sorted(_NAMES, key=len, reverse=True))
 _CANDIDATE = "array<struct<said:string,iso:string,year:int,confidence:string,first:int,last:int,place:int>>"
 
 #: pattern, what its groups are, confidence: in the order that decides between equals

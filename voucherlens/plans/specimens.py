@@ -26,6 +26,8 @@ def specimens(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
     part = table(spark, sf_dir, "part").where("p_partkey < 200").select("p_partkey", "p_name", "p_type")
     rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(part, F.col("k") % 200 == F.col("p_partkey"), "left")
+    # a file of orders may be one task's; dealt by key, the work on them is everyone's, and what is found by key needs no further shuffle
+    rows = rows.repartition("k")
     k, d = F.col("k"), F.col("d")
     iso = d.cast("string")
     day, month, year = F.dayofmonth(d), F.month(d), F.year(d).cast("string")
@@ -71,7 +73,7 @@ def backbone(specimens_: DataFrame) -> DataFrame:
     """A stand-in for a name backbone: exact, fuzzy, homonym and missing answers by a hash of each distinct name."""
     from voucherlens.functions import text
 
-    names = specimens_.select(text.strip_authors(F.col("truth_scientificName")).alias("query")).where("query <> ''").distinct()
+    names = specimens_.select("truth_scientificName").distinct().select(text.strip_authors(F.col("truth_scientificName")).alias("query")).where("query <> ''").distinct()
     kind = F.pmod(F.crc32("query"), F.lit(5)).cast("int")
     genus = F.initcap(F.substring_index("query", " ", 1))
     answer = [
