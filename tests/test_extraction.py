@@ -73,3 +73,15 @@ def test_categories_and_tallies(spark):
     assert one == two and one[0][2:4] == (1, 2)
     seconds = {x.id: x.result for x in checks.evaluate(df, "id", "2026-01-01", ["MEASURE_EVENTDATE_DURATIONINSECONDS"]).collect()}
     assert seconds["d"] == str(3 * 86_400) and seconds["b"] == str(29 * 86_400)
+
+
+def test_records_are_pivoted_and_summed_within_themselves(spark):
+    """What the rows of all tests roll up to comes out of the record itself, without a row for each test."""
+    rows = [("a", "1964-02-30", "Holo.", "1_000"), ("b", "1964-02", "Isotype", "10"), ("c", "", "", None), ("d", "2020-01-05/07", "x", "0")]
+    df = spark.createDataFrame(rows, "id string, eventDate string, typeStatus string, decimalLatitude string")
+    wanted = ["VALIDATION_EVENTDATE_STANDARD", "MEASURE_EVENTDATE_DURATIONINSECONDS", "AMENDMENT_TYPESTATUS_STANDARDIZED", "VALIDATION_DECIMALLATITUDE_INRANGE"]
+    long, wide = checks.evaluate(df, "id", "2026-01-01", wanted), checks.wide(df, "id", "2026-01-01", wanted)
+    assert wide.dtypes == checks.pivot(long, "id", wanted).dtypes and sorted(map(tuple, wide.collect())) == sorted(map(tuple, checks.pivot(long, "id", wanted).collect()))
+    assert "Exchange" not in wide._jdf.queryExecution().executedPlan().toString()
+    short = checks.summary(df, "id", "2026-01-01", wanted)
+    assert short.dtypes == checks.headline(long, "id").dtypes and short.collect() == checks.headline(long, "id").collect()

@@ -175,12 +175,12 @@ def quality_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def quality_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.pivot(_all_checks(spark, sf_dir), "specimen_id")
+    return checks.wide(_test_ready(spark, sf_dir), "specimen_id", TODAY)
 
 
 @query()
 def quality_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.headline(_all_checks(spark, sf_dir), "specimen_id")
+    return checks.summary(_test_ready(spark, sf_dir), "specimen_id", TODAY)
 
 
 @query()
