@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voucherlens.functions import intervals, labels
+from voucherlens.functions import intervals, labels, text
 from voucherlens.operators import chunks
 
 INTERVALS = [
@@ -104,3 +104,13 @@ def test_byte_chunks_against_the_rule(spark, budget, n, ranges):
     df = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "pos int, size int")
     got = [x.chunk for x in chunks.byte_chunks(df, budget, ranges=ranges).orderBy("pos").collect()]
     assert got == rule([s or 0 for s in sizes], budget)
+
+
+def test_plain_texts_take_the_short_way_to_the_same_result(spark):
+    """What the short ways of `strip_authors` and `clean_text` say is what the long ways say, odd blanks and signs included."""
+    said = ["Quercus robur", "Quercus robur L. ß", "Quercus  robur L.", " Quercus robur", "Quercus, robur", "Quercus\trobur x", "Quercus robur\tL.", "Abies\n", "Abies alba\n", "Abies", "", " ", "a b ", "É a", "N/A", "na ", "NaN", "Ab: c", ";", "a ; b c", None]
+    df = spark.createDataFrame([(x,) for x in said], "c string")
+    rows = df.select("c", text.strip_authors(F.col("c")).alias("short"), text._stripped(F.col("c")).alias("long"), text.clean_text(F.col("c")).alias("clean")).collect()
+    assert [x["short"] for x in rows] == [x["long"] for x in rows]
+    plain = lambda x: " ".join((x or "").lower().split()).replace("ß", "ss").replace("é", "e")
+    assert [x["clean"] for x in rows] == [("na" if plain(x) in text.CLEAN_NULLS else plain(x)) for x in said]

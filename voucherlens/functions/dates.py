@@ -43,11 +43,16 @@ def iso_span(c: Column) -> Column:
 def components(c: Column) -> Column:
     """struct(precision, y, m, d) of YYYY or YYYY-M[-D] (no calendar check, a zero part is absent), or null."""
     text = F.get(F.split(F.trim(c), "T"), 0)
-    part = lambda i: F.nullif(F.nullif(F.regexp_extract(text, r"^(\d{4})(?:-(\d{1,2}))?(?:-(\d{1,2}))?$", i), F.lit("")).cast("int"), F.lit(0))
-    y, m, d = part(1), part(2), part(3)
-    d = F.when(m.isNotNull(), d)
-    p = F.when(d.isNotNull(), 3).when(m.isNotNull(), 2).otherwise(1)
-    return F.when(text.rlike(r"^\d{4}(-\d{1,2}){0,2}$"), F.struct(p.alias("precision"), y.alias("y"), m.alias("m"), d.alias("d")))
+    part = lambda i: F.regexp_extract(text, r"^(\d{4})(?:-(\d{1,2}))?(?:-(\d{1,2}))?$", i).try_cast("int")
+
+    def told(x: Column) -> Column:
+        m = F.when(x["m"] != 0, x["m"])
+        d = F.when((x["m"] != 0) & (x["d"] != 0), x["d"])
+        p = F.when(d.isNotNull(), 3).when(m.isNotNull(), 2).otherwise(1)
+        return F.struct(p.alias("precision"), F.when(x["y"] != 0, x["y"]).alias("y"), m.alias("m"), d.alias("d"))
+
+    # each part is cut out once
+    return F.when(text.rlike(r"^\d{4}(-\d{1,2}){0,2}$"), let(F.struct(part(1).alias("y"), part(2).alias("m"), part(3).alias("d")), told))
 
 
 def free_components(c: Column) -> Column:

@@ -18,10 +18,14 @@ def number(c: Column) -> Column:
     return F.when(F.abs(value) < float("inf"), value)
 
 
+def given(lat: Column, lon: Column) -> Column:
+    """Both say something."""
+    return ~F.lower(F.trim(F.coalesce(lat.cast("string"), F.lit("")))).isin(COORD_NULLS) & ~F.lower(F.trim(F.coalesce(lon.cast("string"), F.lit("")))).isin(COORD_NULLS)
+
+
 def real_coordinate(lat: Column, lon: Column) -> Column:
     """Both given, and not the null island."""
-    given = ~F.lower(F.trim(F.coalesce(lat.cast("string"), F.lit("")))).isin(COORD_NULLS) & ~F.lower(F.trim(F.coalesce(lon.cast("string"), F.lit("")))).isin(COORD_NULLS)
-    return given & ~F.coalesce((number(lat) == 0) & (number(lon) == 0), F.lit(False))
+    return given(lat, lon) & ~F.coalesce((number(lat) == 0) & (number(lon) == 0), F.lit(False))
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -111,7 +111,8 @@ def settle(scored: Column, kind: str, truth: Column, found: Column, label: Colum
 def score_coordinates(lat: Column, lon: Column, found_lat: Column, found_lon: Column, inferred: Column | None = None) -> Column:
     """The ninth field: coord-eval if both sides have real coordinates; only that counts."""
     figures = F.struct(*[geo.number(c).alias(n) for c, n in ((lat, "a"), (lon, "b"), (found_lat, "c"), (found_lon, "d"))])
-    read = F.struct(geo.real_coordinate(lat, lon).alias("t"), geo.real_coordinate(found_lat, found_lon).alias("e"), text.let(figures, lambda p: geo.haversine_km(p["a"], p["b"], p["c"], p["d"])).alias("km"))
+    real = lambda a, b, x, y: geo.given(a, b) & ~F.coalesce((x == 0) & (y == 0), F.lit(False))
+    read = text.let(figures, lambda p: F.struct(real(lat, lon, p["a"], p["b"]).alias("t"), real(found_lat, found_lon, p["c"], p["d"]).alias("e"), geo.haversine_km(p["a"], p["b"], p["c"], p["d"]).alias("km")))
 
     def told(x: Column) -> Column:
         out = F.when(x["t"] & x["e"], _say(geo.coordinate_score(x["km"]), "coord-eval", F.format_string("%.3f km", x["km"]))).when(x["t"], _say(None, "inferred-gbif"))
