@@ -85,3 +85,29 @@ def test_records_are_pivoted_and_summed_within_themselves(spark):
     assert "Exchange" not in wide._jdf.queryExecution().executedPlan().toString()
     short = checks.summary(df, "id", "2026-01-01", wanted)
     assert short.dtypes == checks.headline(long, "id").dtypes and short.collect() == checks.headline(long, "id").collect()
+
+
+def _optimized(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_outcomes_are_columns_before_they_become_rows(spark):
+    from voucherlens.operators import checks
+
+    df = spark.createDataFrame([(1, "1998-02-03", "12.5", "Epi.")], "id int, eventDate string, decimalLatitude string, typeStatus string")
+    labels = ["VALIDATION_EVENTDATE_STANDARD", "VALIDATION_DECIMALLATITUDE_INRANGE", "AMENDMENT_TYPESTATUS_STANDARDIZED"]
+    # an array inside explode would be interpreted
+    assert "explode(array(" not in _optimized(checks.evaluate(df, "id", "2026-01-01", labels))
+    # records are counted before their outcomes are taken apart
+    lines = _optimized(checks.tally(df, "2026-01-01", labels)).splitlines()
+    generate = next(i for i, x in enumerate(lines) if "Generate" in x)
+    assert any("Aggregate" in x for x in lines[generate:])
+
+
+def test_a_places_numbers_are_read_before_it_becomes_rows(spark):
+    from voucherlens.operators import lookups
+    from voucherlens.plans.specimens import borders
+
+    df = spark.createDataFrame([(1, "-50.5", "-170.25", "NF")], "id int, lat string, lon string, country_code string")
+    plan = _optimized(lookups.places(df, "id", borders(spark)))
+    assert not [x for x in plan.splitlines() if "Filter" in x and "RLIKE" in x]

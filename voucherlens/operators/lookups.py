@@ -143,15 +143,18 @@ def places(df: DataFrame, id_col: str, borders: DataFrame, km: float = 3.0) -> D
     place_near: within `km` of the country named; place_better: the first of the swapped and sign-flipped forms that is;
     place_code: the one country that holds the point. Points meet borders by one-degree cell and code, not pairwise.
     """
-    lat, lon = F.trim("lat"), F.trim("lon")
-    forms = F.array(
-        F.struct(F.lit(0).alias("pos"), lat.alias("la"), lon.alias("lo")), F.when(F.abs(geo.number(lon)) <= 90, F.struct(F.lit(1).alias("pos"), lon.alias("la"), lat.alias("lo"))),
-        F.struct(F.lit(2).alias("pos"), geo.flipped(lat).alias("la"), lon.alias("lo")), F.struct(F.lit(3).alias("pos"), lat.alias("la"), geo.flipped(lon).alias("lo")),
-        F.struct(F.lit(4).alias("pos"), geo.flipped(lat).alias("la"), geo.flipped(lon).alias("lo")),
-    )
-    points = df.where(geo.number(lat).isNotNull() & geo.number(lon).isNotNull()).select(id_col, "country_code", F.explode(F.filter(forms, lambda x: x.isNotNull() & ((x["pos"] == 0) | F.col("country_code").isNotNull()))).alias("f"))
-    points = points.select(id_col, "country_code", "f.*", geo.number(F.col("f.la")).alias("y"), geo.number(F.col("f.lo")).alias("x"))
-    points = points.where(F.abs("y") <= 90).where(F.abs("x") <= 360).withColumn("cell", _cell(F.floor("x"), F.floor("y")))
+    texts = df.select(id_col, "country_code", F.trim("lat").alias("lat"), F.trim("lon").alias("lon"))
+    texts = texts.select("*", geo.flipped(F.col("lat")).alias("flat"), geo.flipped(F.col("lon")).alias("flon"))
+    read = texts.select("*", *[geo.number(F.col(c)).alias(f"{c}_n") for c in ("lat", "lon", "flat", "flon")])
+
+    def form(pos: int, la: str, lo: str) -> Column:
+        y, x = F.col(f"{la}_n"), F.col(f"{lo}_n")
+        return F.when((F.abs(y) <= 90) & (F.abs(x) <= 360), F.struct(F.lit(pos).alias("pos"), F.col(la).alias("la"), F.col(lo).alias("lo"), y.alias("y"), x.alias("x"), _cell(F.floor(x), F.floor(y)).alias("cell")))
+
+    # numbers are read before a row becomes several: of what follows an explode, filters would read them over and over
+    forms = F.when(F.col("country_code").isNull(), F.array(form(0, "lat", "lon"))).otherwise(F.array(form(0, "lat", "lon"), form(1, "lon", "lat"), form(2, "flat", "lon"), form(3, "lat", "flon"), form(4, "flat", "flon")))
+    points = read.select(id_col, "country_code", F.when(F.col("lat_n").isNotNull() & F.col("lon_n").isNotNull(), forms).alias("forms"))
+    points = points.select(id_col, "country_code", F.explode_outer("forms").alias("f")).where("f.pos is not null").select(id_col, "country_code", "f.*")
     own = F.col("iso_a2") == F.col("country_code")
     # other forms than the first are asked of the country named only
     met = points.join(gridded(borders, km / 111), "cell").where((F.col("pos") == 0) | own)

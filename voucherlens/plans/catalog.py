@@ -158,12 +158,13 @@ def _all_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _test_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Specimens with borders, backbone and parsed verbatim dates joined on."""
-    df = checks.with_verbatim_dates(checks.prepare(specimens(spark, sf_dir)))
+    df = checks.prepare(specimens(spark, sf_dir))
     lines = borders(spark)
     df = lookups.country_codes(df, "country", lines)
     spots = lookups.places(df.select("specimen_id", F.col("decimalLatitude").alias("lat"), F.col("decimalLongitude").alias("lon"), "country_code"), "specimen_id", lines)
-    df = df.join(spots, "specimen_id", "left")
     names = backbone(df)
+    # the dates come last: what places and names are made of doesn't meet them
+    df = checks.with_verbatim_dates(df.join(spots, "specimen_id", "left"))
     df = lookups.match_names(df, "scientificName", names, "name_match", "name", cleaned=True)
     return lookups.match_names(df, "genus", names, "genus_match", "genus")
 

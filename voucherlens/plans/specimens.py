@@ -31,7 +31,9 @@ def specimens(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, d = F.col("k"), F.col("d")
     iso = d.cast("string")
     day, month, year = F.dayofmonth(d), F.month(d), F.year(d).cast("string")
-    roman = F.concat(day.cast("string"), F.lit("."), F.get(F.array(*map(F.lit, ROMAN)), month - 1), F.lit("."), year)
+    # the lambda keeps the long projection below out of whole-stage code, where it is one method, longer than the JVM compiles
+    numeral = F.get(F.transform(F.array(month), lambda m: F.get(F.array(*map(F.lit, ROMAN)), m - 1)), 0)
+    roman = F.concat(day.cast("string"), F.lit("."), numeral, F.lit("."), year)
     lat = ((F.col("o_custkey") * 7919) % 18000) / F.lit(100.0) - 90
     lon = ((F.col("o_custkey") * 104729) % 36000) / F.lit(100.0) - 180
     shift = _cases(k, 8, *[F.lit(float(x)) for x in (0, 0.001, 0.05, 0.3, 0.8, 2.0, 0, 0)])
