@@ -90,3 +90,17 @@ def test_empty_evaluation_and_frame_without_reference(spark):
     near = names.nearest_names(rows.select(F.lower("scientificName").alias("name")), spark.createDataFrame([("quercus robur",)], "name string"))
     got = {x.filename: x for x in evaluation.without_reference(rows, near).collect()}
     assert (got["1"].gbifFuzzySuggestion, got["1"].gbifFuzzySimilarity, got["1"].inputTokens, got["2"].costUSD, got["2"].scientificName) == ("quercus robur", 0.923, 10, 0.5, "")
+
+
+def test_only_the_truth_that_is_read_is_made(spark):
+    """Documents without an occurrence id don't meet in one group, and a field that nobody reads isn't taken from its documents."""
+    from voucherlens.operators import evaluation, lookups
+
+    docs = spark.createDataFrame([(k, "{}", "{}", f'{{"gbifID": "g{k}", "genus": "Rosa", "eventDate": "1998-02-0{k}"}}') for k in (1, 2)] + [(3, "{}", "{}", '{"occurrenceID": "9", "eventDate": "1999"}')], "key int, fragment string, verbatim string, occurrence string")
+    notes = evaluation.truth_from_annotations(spark.createDataFrame([("4", {"eventDate": "2001"})], "annotation_id string, fields map<string,string>"))
+    rows = lookups.attach_truth(spark.createDataFrame([(i,) for i in (1, 2, 4, 5, 9)], "specimen_id int"), evaluation.truth_from_documents(docs), notes)
+    got = rows.select("specimen_id", "truth_eventDate", "truth_source")
+    assert sorted(map(tuple, got.collect())) == [(1, "1998-02-01", "key"), (2, "1998-02-02", "key"), (4, "2001", "annotation"), (5, None, None), (9, "1999", "occurrenceID")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnotnull" in plan[plan.index("Aggregate") :]
+    assert "genus" not in next(x for x in plan.splitlines() if "key_truth_eventDate" in x)

@@ -150,14 +150,15 @@ def darwin_core(scored: DataFrame, statuses: DataFrame | None = None, id_col: st
 def evaluation(scored: DataFrame, id_col: str = "specimen_id") -> DataFrame:
     """The frame of one row a specimen and field."""
     own = F.col(id_col).cast("string")
-    rows = scored.select(own.alias("filename"), F.coalesce("truth_gbif_id", own).alias("gbifID"), F.explode("results").alias("x"))
+    # a plain explode would have the results worked out once more, to leave out rows without any
+    rows = scored.select(own.alias("filename"), F.coalesce("truth_gbif_id", own).alias("gbifID"), F.explode_outer("results").alias("x")).where("x.field is not null")
     return rows.select("filename", "gbifID", "x.field", "x.truth", F.col("x.found").alias("ai"), F.round("x.score", 4).alias("score"), "x.method", F.substring_index("x.note", "||", -1).alias("note"))
 
 
 def field_summary(scored: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """Mean and count of each field's scores, in the fields' order; a mean of nothing is null."""
     fields = [*(fields or scoring.FIELDS), "coordinates"]
-    sums = scored.select(F.explode("results").alias("x")).groupBy("x.field").agg(F.round(F.avg("x.score"), 4).alias("mean_accuracy"), F.count("x.score").alias("n_scored"))
+    sums = scored.select(F.explode_outer("results").alias("x")).where("x.field is not null").groupBy("x.field").agg(F.round(F.avg("x.score"), 4).alias("mean_accuracy"), F.count("x.score").alias("n_scored"))
     order = scored.sparkSession.createDataFrame(list(enumerate(fields)), "position int, field string")
     return order.join(sums, "field", "left").select("position", "field", "mean_accuracy", F.coalesce("n_scored", F.lit(0)).alias("n_scored"))
 

@@ -14,14 +14,16 @@ def attach_truth(specimens: DataFrame, occurrences: DataFrame, annotations: Data
     `occurrences`: key, occurrenceID, truth_* columns; `annotations`: annotation_id and the same truth_* columns.
     """
     fields = [c for c in occurrences.columns if c.startswith("truth_")]
-    by_key = occurrences.select(F.col("key").cast("string").alias("k"), F.struct(*fields).alias("by_key"))
-    by_id = occurrences.groupBy(F.col("occurrenceID").alias("o")).agg(F.min_by(F.struct(*fields), "key").alias("by_id"))
-    notes = annotations.select(F.col("annotation_id").alias("a"), F.struct(*fields).alias("by_note"))
+    # columns, not structs, so that a field that nobody reads isn't made
+    by_key = occurrences.select(F.col("key").cast("string").alias("k"), F.lit(True).alias("by_key"), *[F.col(f).alias(f"key_{f}") for f in fields])
+    # a record without an occurrence id is found by none: all of these would meet in one group
+    by_id = occurrences.where("occurrenceID is not null").groupBy(F.col("occurrenceID").alias("o")).agg(F.min_by(F.struct(*fields), "key").alias("by_id"))
+    notes = annotations.select(F.col("annotation_id").alias("a"), F.lit(True).alias("by_note"), *[F.col(f).alias(f"note_{f}") for f in fields])
     own = F.col(id_col).cast("string")
     rows = specimens.join(by_key, own == F.col("k"), "left").join(by_id, own == F.col("o"), "left").join(notes, own == F.col("a"), "left")
     source = F.when(F.col("by_key").isNotNull(), "key").when(F.col("by_id").isNotNull(), "occurrenceID").when(F.col("by_note").isNotNull(), "annotation")
-    best = F.coalesce("by_key", "by_id", "by_note")
-    return rows.select(*specimens.columns, *[best[f].alias(f) for f in fields], source.alias("truth_source"))
+    best = lambda f: F.when(F.col("by_key").isNotNull(), F.col(f"key_{f}")).when(F.col("by_id").isNotNull(), F.col(f"by_id.{f}")).otherwise(F.col(f"note_{f}"))
+    return rows.select(*specimens.columns, *[best(f).alias(f) for f in fields], source.alias("truth_source"))
 
 
 def pick(*candidates: Column) -> Column:

@@ -37,8 +37,7 @@ a AS (SELECT *, CASE WHEN w < 8 THEN (date_score + cer + coalesce(coord_score, 0
 @query(_EVALUATED + """, f AS (SELECT k, w, 'eventDate' AS field, date_score AS s, dm AS method FROM e UNION ALL SELECT k, w, 'catalogNumber', cer, 'cer' FROM e UNION ALL SELECT k, w, 'coordinates', coord_score, cm FROM e)
 SELECT CAST(k AS VARCHAR) AS filename, CASE WHEN w < 6 THEN 'g' || k ELSE CAST(k AS VARCHAR) END AS "gbifID", field, CAST(round(s, 4) AS DOUBLE) AS score, method FROM f WHERE w < 8""")
 def evaluation_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames, _ = evaluation.evaluate(_scored(spark, sf_dir), fields=list(_FIELDS))
-    return frames["evaluation"].select("filename", "gbifID", "field", "score", "method")
+    return evaluation.evaluation(_scored(spark, sf_dir)).select("filename", "gbifID", "field", "score", "method")
 
 
 @query(_EVALUATED + """ SELECT CAST(k AS VARCHAR) AS filename, CASE WHEN w < 6 THEN 'g' || k ELSE CAST(k AS VARCHAR) END AS "gbifID", CASE WHEN w < 8 THEN 'matched' ELSE 'unmatched' END AS status, CAST(round(accuracy, 4) AS DOUBLE) AS overall_score, sp.country, sp.typestatus AS "typeStatus" FROM a JOIN sp ON sp.specimen_id = a.k""")
@@ -49,8 +48,7 @@ def darwin_core_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_EVALUATED + " SELECT field, round(avg(s), 4) AS mean_accuracy, count(s) AS n_scored FROM (SELECT w, 'eventDate' AS field, date_score AS s FROM e UNION ALL SELECT w, 'catalogNumber', cer FROM e UNION ALL SELECT w, 'coordinates', coord_score FROM e) WHERE w < 8 GROUP BY field")
 def field_summary_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames, _ = evaluation.evaluate(_scored(spark, sf_dir), fields=list(_FIELDS))
-    return frames["field_summary"].select("field", "mean_accuracy", "n_scored")
+    return evaluation.field_summary(_scored(spark, sf_dir), list(_FIELDS)).select("field", "mean_accuracy", "n_scored")
 
 
 @query(_EVALUATED + " SELECT count(*) AS n_specimens, count(accuracy) AS n_matched, count(*) - count(accuracy) AS n_unmatched, round(avg(accuracy), 6) AS accuracy, count(*) FILTER (accuracy >= 0.85) AS n_high, count(*) FILTER (accuracy >= 0.6 AND accuracy < 0.85) AS n_middle, count(*) FILTER (accuracy < 0.6) AS n_low, 0::BIGINT AS n_synonyms FROM a")
