@@ -375,3 +375,38 @@ def test_month_words_share_their_beginnings():
             a, b = plain.search(said), shared.search(said)
             assert (a and a.groups()) == (b and b.groups())
     assert len({x[:1] for x in words}) > 10
+
+
+def test_shared_texts_are_scored_once(spark, monkeypatch):
+    from voucherlens.plans import specimens
+
+    tables = {}
+    real = scoring.written
+    monkeypatch.setattr(scoring, "written", lambda df, name: tables.setdefault(name, real(df, name)))
+    folder = "/root/testdata/sf0.001"
+    got = catalog.all_field_scores(spark, folder)
+    # the work on names, dates and places grows with their pairs of texts, not with the records
+    assert tables["scores"].count() == tables["scores"].dropDuplicates(["kind", "truth", "found"]).count() == tables["pairs"].count()
+    assert tables["scores"].where("kind in ('taxon', 'epithet', 'geo')").count() < specimens.specimens(spark, folder).count()
+    # each record scored by itself
+    df = specimens.specimens(spark, folder)
+    names = specimens.backbone(df)
+    for column, match in (("truth_scientificName", "truth_match"), ("scientificName", "found_match")):
+        df = lookups.match_names(df, column, names, match, "name", cleaned=True)
+    relation = lookups.name_relation(F.col("truth_match"), F.col("found_match"), F.lit(""), text.strip_authors(F.col("scientificName")))
+    df = scoring.score_fields(df, relation={"scientificName": relation})
+    df = df.withColumn("coordinates_score", scoring.score_coordinates(*map(F.col, ("truth_decimalLatitude", "truth_decimalLongitude", "decimalLatitude", "decimalLongitude"))))
+    said = scoring.long_results(df, "specimen_id").drop("note")
+    assert got.columns == said.columns and got.dtypes == said.dtypes
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, said.collect()))
+
+
+def test_pairs_with_nulls_keep_their_rows(spark):
+    rows = [(1, "Peru", "Peru"), (2, "Peru", None), (3, None, "Peru"), (4, None, None), (5, "Peru", "Peru"), (6, "Chile", "Chili"), (7, "", "")]
+    df = spark.createDataFrame(rows, "id long, truth_country string, country string").withColumns({"truth_genus": F.lit("Abies"), "genus": F.lit("Abis")})
+    fields = {"country": "geo", "genus": "epithet"}
+    pairs = scoring.distinct_pairs(df, fields)
+    assert pairs.count() == 7
+    got = scoring.join_scores(df, fields, scoring.score_pairs(pairs)).select("id", "country_score", "genus_score")
+    said = scoring.score_fields(df, fields).select("id", "country_score", "genus_score")
+    assert sorted(got.collect()) == sorted(said.collect())

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voucherlens.functions import dates, geo, labels, text
+from voucherlens.sources.shared import written
 
 #: field -> kind, in the order of reports
 FIELDS = {
@@ -145,6 +146,29 @@ def score_fields(df: DataFrame, fields: dict[str, str] | None = None, **joined:
     return df
 
 
+def distinct_pairs(df: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """(kind, truth, found): the distinct pairs of texts of each kind among the truth_x and x columns of `fields`; written."""
+    items = [F.struct(F.lit(kind).alias("kind"), F.col(f"truth_{f}").cast("string").alias("truth"), F.col(f).cast("string").alias("found")) for f, kind in fields.items()]
+    return written(df.select(F.inline(F.array(*items))).distinct(), "pairs")
+
+
+def score_pairs(pairs: DataFrame, **joined: dict[str, Column]) -> DataFrame:
+    """`pairs` (kind, truth, found) with their score structs; written. Keyword maps give kind -> column of `pairs` for score_field's options."""
+    kinds = list(dict.fromkeys(FIELDS.values()))
+    options = lambda kind: {name: columns[kind] for name, columns in joined.items() if kind in columns}
+    scores = [F.when(F.col("kind") == kind, score_field(kind, F.col("truth"), F.col("found"), **options(kind))) for kind in kinds]
+    return written(pairs.select("kind", "truth", "found", F.coalesce(*scores).alias("score")), "scores")
+
+
+def join_scores(df: DataFrame, fields: dict[str, str], scores: DataFrame) -> DataFrame:
+    """`df` with x_score of `fields` by their pair of texts; of few pairs, Spark sends the table to every task."""
+    for f, kind in fields.items():
+        own = scores.where(F.col("kind") == kind).select(F.col("truth").alias("pair_truth"), F.col("found").alias("pair_found"), F.col("score").alias(f"{f}_score"))
+        same = F.col(f"truth_{f}").cast("string").eqNullSafe(F.col("pair_truth")) & F.col(f).cast("string").eqNullSafe(F.col("pair_found"))
+        df = df.join(own, same, "left").drop("pair_truth", "pair_found")
+    return df
+
+
 def long_results(df: DataFrame, id_col: str, fields: list[str] | None = None) -> DataFrame:
     """(id, position, field, truth, found, score, method, note), coordinates last if they were scored."""
     fields = fields or list(FIELDS)

@@ -76,13 +76,18 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def all_field_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every field by its own kind, collectors, places and taxa among them."""
+    """Every field by its own kind, collectors, places and taxa among them; names, dates and places, which many records share, once for each pair of texts."""
     df = specimens(spark, sf_dir)
-    names = backbone(df)
-    df = lookups.match_names(df, "truth_scientificName", names, "truth_match", "name", cleaned=True)
-    df = lookups.match_names(df, "scientificName", names, "found_match", "name", cleaned=True)
-    relation = lookups.name_relation(F.col("truth_match"), F.col("found_match"), F.lit(""), text.strip_authors(F.col("scientificName")))
-    df = scoring.score_fields(df, relation={"scientificName": relation})
+    shared = {f: kind for f, kind in scoring.FIELDS.items() if kind in ("taxon", "epithet", "date", "geo")}
+    pairs = scoring.distinct_pairs(df, shared)
+    taxa = F.col("kind") == "taxon"
+    names = backbone(pairs.where(taxa).withColumnRenamed("truth", "truth_scientificName"))
+    named = lookups.match_names(pairs.where(taxa), "truth", names, "truth_match", "name", cleaned=True)
+    named = lookups.match_names(named, "found", names, "found_match", "name", cleaned=True)
+    relation = lookups.name_relation(F.col("truth_match"), F.col("found_match"), F.lit(""), text.strip_authors(F.col("found")))
+    pairs = named.select("kind", "truth", "found", relation.alias("relation")).unionByName(pairs.where(~taxa), allowMissingColumns=True)
+    df = scoring.join_scores(df, shared, scoring.score_pairs(pairs, relation={"taxon": F.col("relation")}))
+    df = scoring.exclude_parts(scoring.score_fields(df, {f: kind for f, kind in scoring.FIELDS.items() if f not in shared}))
     df = df.withColumn("coordinates_score", scoring.score_coordinates(*map(F.col, ("truth_decimalLatitude", "truth_decimalLongitude", "decimalLatitude", "decimalLongitude"))))
     return scoring.long_results(df, "specimen_id").drop("note")
 
